@@ -19,10 +19,11 @@ from .common import shuffle_parts
 GROUP = ["bucket", "low", "high"]
 
 
-def blocked(members: DataFrame, member: str, rows: int) -> DataFrame:
+def blocked(members: DataFrame, member: str, rows: int, payload: DataFrame | None = None) -> DataFrame:
     """members: a column `bucket` (long) and a column `member` that is distinct in a bucket.
 
     Adds (low, high), the pair of blocks a copy of the row takes part in, and `block`, the row's own block.
+    Columns of `payload` are joined by `member` last, so that wide rows are dealt out once.
     """
     counts = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     sized = members.join(counts, "bucket").withColumn("blocks", F.ceil(F.col("size") / F.lit(float(rows))).cast("int"))
@@ -30,6 +31,8 @@ def blocked(members: DataFrame, member: str, rows: int) -> DataFrame:
     dealt = sized.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     dealt = dealt.drop("size", "blocks", "other")
+    if payload is not None:
+        dealt = dealt.join(payload, member)
     return dealt.repartition(shuffle_parts(members.sparkSession), *GROUP).sortWithinPartitions(*GROUP)
 
 
