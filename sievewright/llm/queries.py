@@ -12,6 +12,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import in_fold
+    from .toxicity import fitted, scores
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fitted(docs, _table(spark, sf_dir, "labels"), "toxic", learn=~in_fold(F.col("id"), 5, 0))
+    found = scores(docs, model)
+    return found.select(F.col("id").alias("doc_id"), in_fold(F.col("id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").alias("n_offending"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan
+
+    found = scan(_table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return found.select(
+        F.col("id").alias("doc_id"), n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
@@ -43,6 +66,24 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = _table(spark, sf_dir, "documents")
+    labelled = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("domain")).join(_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct(), "id")
+    return mix(docs, labelled).withColumnRenamed("id", "doc_id")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import in_fold
+    from .quality import fitted, quality_scores
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fitted(docs, _table(spark, sf_dir, "labels"), "quality", learn=~in_fold(F.col("id"), 3, 1))
+    found = quality_scores(docs, model)
+    return found.select(F.col("id").alias("doc_id"), in_fold(F.col("id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -53,9 +94,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_toxicity": op4_toxicity,
+    "op5_secret_scan": op5_secret_scan,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
+    "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
