@@ -59,6 +59,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import in_fold
+    from .pst import score_texts
+
+    found = score_texts(_table(spark, sf_dir, "documents"), in_fold(F.col("doc_id"), 7, 2))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", "train_tokens", F.col("base").alias("base_score"), "score",
+    )
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embed_dedup import near_vectors
 
@@ -92,6 +102,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
