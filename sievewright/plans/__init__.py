@@ -1,0 +1 @@
+"""Registered queries by family; each module has QUERIES and ORACLES."""
