@@ -46,7 +46,7 @@ def match_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def atom_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = m.atom_decisions(m.patient_atoms(facts(spark, sf_dir), ATOMS, _index()), ATOMS)
-    return found.select("patient_id", "condition_id", "truth", "n_fit", "n_future", F.coalesce("issue", F.lit("")).alias("issue"))
+    return found.select("patient_id", "condition_id", F.coalesce(F.col("truth").cast("string"), F.lit("unknown")).alias("truth"), "n_fit", "n_future", F.coalesce("issue", F.lit("")).alias("issue"))
 
 
 def criterion_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ ORACLES = {
 SELECT patient_id, trial_id, decision, score, coverage, atomic_coverage, decision = 'unknown' AS abstained, CASE WHEN decision <> 'unknown' THEN '' ELSE coalesce(why, 'nothing_resolved') END AS reasons,
   CAST(row_number() OVER (PARTITION BY patient_id ORDER BY CASE decision WHEN 'eligible' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END DESC, coalesce(score, -1) DESC, coverage DESC, atomic_coverage DESC, trial_id) AS INTEGER) AS rank
 FROM scored""",
-    "atom_decisions": _BASE + "SELECT patient_id, condition_id, truth, n_fit, n_future, issue FROM decided",
+    "atom_decisions": _BASE + "SELECT patient_id, condition_id, coalesce(truth::VARCHAR, 'unknown') AS truth, n_fit, n_future, issue FROM decided",
     "criterion_decisions": _BASE + "SELECT patient_id, trial_id, criterion_id, decision, CAST(n_resolved AS BIGINT) AS n_resolved FROM judged",
     "latest_fact_asof": f"""SELECT user_id AS patient_id, event_type AS field, event_id AS fact_id, value AS num, CASE WHEN event_id % 11 = 0 THEN 'alt' ELSE 'std' END AS unit, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS observed_at
 FROM events WHERE CAST(ts AS DATE) <= DATE '{INDEX}' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY CAST(ts AS DATE) DESC, event_id) = 1""",

@@ -60,7 +60,7 @@ def _fusion(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense, lexical = _fusion(spark, sf_dir)
     found = r.reciprocal_rank_fusion(dense, lexical, ["scope", "query_id"], 3)
-    return found.select("scope", "query_id", "chunk_id", "dense_rank", "lexical_rank", F.round("score", 6).alias("score"), "rank")
+    return found.select("scope", "query_id", "chunk_id", "dense_rank", F.coalesce("lexical_rank", F.lit(0)).alias("lexical_rank"), F.round("score", 6).alias("score"), "rank")
 
 
 def rrf_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ ORACLES = {
     "dense_topk": f"WITH {_DENSE} SELECT scope, query_id, chunk_id, round(score, 6) AS score, CAST({_RANK} AS INTEGER) AS rank FROM dense QUALIFY rank <= 5",
     "flat_index_topk": f"""SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round({DOT}, 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({DOT}, 9) DESC, v.vec_id) AS INTEGER) AS rank
 FROM embeddings v JOIN embeddings q ON v.vec_id <> q.vec_id AND q.vec_id % 100 = 0 QUALIFY rank <= 10""",
-    "rrf_topk": _FUSED + "SELECT scope, query_id, chunk_id, dense_rank, lexical_rank, round(score, 6) AS score, rank FROM top",
+    "rrf_topk": _FUSED + "SELECT scope, query_id, chunk_id, dense_rank, coalesce(lexical_rank, 0) AS lexical_rank, round(score, 6) AS score, rank FROM top",
     "rrf_agreement": _FUSED + """SELECT count(*) AS n_queries, count(*) FILTER (t.chunk_id IS NOT DISTINCT FROM d.chunk_id) AS top1_as_dense, count(*) FILTER (t.chunk_id IS NOT DISTINCT FROM l.chunk_id) AS top1_as_lexical
 FROM (SELECT * FROM top WHERE rank = 1) t LEFT JOIN (SELECT * FROM dr WHERE dense_rank = 1) d USING (scope, query_id) LEFT JOIN (SELECT * FROM lr WHERE lexical_rank = 1) l USING (scope, query_id)""",
     "retrieval_exposure": _BM25 + f""", picked AS (SELECT scope, query_id, chunk_id FROM scores WHERE score > 0 QUALIFY {_RANK} <= 3),
