@@ -66,9 +66,9 @@ def numeric_findings(chunks: DataFrame, aliases: dict[str, tuple[str, ...]], lar
     values = chunks.select("scope", "chunk_id", F.inline(every)).select("scope", "chunk_id", "name", F.explode("values").alias("value"))
     best = F.max if largest else F.min
     by_chunk = values.groupBy("scope", "name", "chunk_id").agg(best("value").alias("value"), F.count("*").alias("n"))
-    # of equal values all chunks are evidence: the extreme struct list is cut by the extreme value
-    out = by_chunk.groupBy("scope", "name").agg(best("value").alias("value"), F.sum("n").alias("n_mentions"), F.collect_list(F.struct("value", "chunk_id")).alias("all"))
-    return out.select("scope", "name", "value", "n_mentions", F.array_sort(F.transform(F.filter("all", lambda x: x["value"] == F.col("value")), lambda x: x["chunk_id"])).alias("evidence"))
+    winner = by_chunk.groupBy("scope", "name").agg(best("value").alias("value"), F.sum("n").alias("n_mentions"))
+    holding = by_chunk.select("scope", "name", "value", "chunk_id").join(winner, ["scope", "name", "value"])
+    return holding.groupBy("scope", "name", "value", "n_mentions").agg(F.array_sort(F.collect_list("chunk_id")).alias("evidence"))
 
 
 INCLUSION, EXCLUSION = r"^\W*(?:key\s+)?inclusion\s+criteria\W*$", r"^\W*(?:key\s+)?exclusion\s+criteria\W*$"

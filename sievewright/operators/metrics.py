@@ -111,10 +111,15 @@ def interpolated_percentile(value: str | Column, p: float) -> Column:
     return F.percentile(value, p)
 
 
-def nearest_percentile(value: Column, p: float) -> Column:
-    """The value at round((n - 1) * p) of the sorted ones, halves to the even neighbour. For bounded groups."""
-    values = F.array_sort(F.collect_list(value))
-    return F.get(values, F.bround((F.size(values) - 1) * F.lit(p)).cast("int"))
+def nearest_percentiles(rows: DataFrame, keys: Sequence[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """Per group the values at round((n - 1) * p) of the sorted ones, halves to the even neighbour.
+
+    From counts by distinct value and their running sums, so that no group's values are gathered.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    part = Window.partitionBy(*keys)
+    sums = counts.withColumn("upto", F.sum("n").over(part.orderBy(value))).withColumn("total", F.sum("n").over(part))
+    return sums.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") > F.bround((F.col("total") - 1) * F.lit(p)), F.col(value))).alias(name) for name, p in ps.items()])
 
 
 def ceiling_percentile(value: str, p: float) -> Column:

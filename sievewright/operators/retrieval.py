@@ -98,9 +98,21 @@ def exposure(rankings: DataFrame, chunks: DataFrame) -> DataFrame:
     return picked.join(whole, "scope").withColumn("exposure", F.round(F.col("selected_chars") / F.col("scope_chars"), 6))
 
 
-def global_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Flat inner-product search: every query against all vectors. Queries are a small stated set, so they are sent
-    to the vectors as one array and each partition keeps its best k."""
-    q = queries.agg(F.collect_list(F.struct("query_id", "vec")).alias("qs"))
-    pairs = vectors.join(F.broadcast(q)).select("chunk_id", "vec", F.explode("qs").alias("q")).where(F.col("chunk_id") != F.col("q.query_id"))
-    return ranked(pairs.select(F.col("q.query_id").alias("query_id"), "chunk_id", dot(F.col("q.vec"), F.col("vec")).alias("score")), ["query_id"], k)
+#: Queries of a flat search that are sent to the vectors at once.
+QUERY_BLOCK = 1000
+
+
+def global_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """Flat inner-product search: each of a stated set of queries against all vectors.
+
+    Queries go to the vectors in blocks of `block`, so what is broadcast stays that small however many there are;
+    each task keeps the best k of a query before anything is shuffled.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    found = None
+    for n in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).agg(F.collect_list(F.struct("query_id", "vec")).alias("qs"))
+        pairs = vectors.join(F.broadcast(some)).select("chunk_id", "vec", F.explode("qs").alias("q")).where(F.col("chunk_id") != F.col("q.query_id"))
+        part = ranked(pairs.select(F.col("q.query_id").alias("query_id"), "chunk_id", dot(F.col("q.vec"), F.col("vec")).alias("score")), ["query_id"], k)
+        found = part if found is None else found.unionByName(part)
+    return found

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import rank_hash
 from ..functions.vector import dot, normalized
+from ..session import checkpointed
 
 
 def hash_sample(rows: DataFrame, key: str, n: int, seed: str, strata: Sequence[str] = ()) -> DataFrame:
@@ -96,13 +97,14 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     chains shrink by half; rounds are checkpointed to the cluster's shared folder.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u is not null and v is not null").distinct()
-    both = both.checkpoint()
-    labels = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("label")).checkpoint()
+    both = checkpointed(both)
+    labels = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("label"))
+    labels = checkpointed(labels)
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
         jump = labels.select(F.col("u").alias("label"), F.col("label").alias("above"))
         step = labels.join(near, "u", "left").join(jump, "label", "left")
-        new = step.select("u", F.least("label", "near", "above").alias("label"), (F.least("label", "near", "above") != F.col("label")).alias("moved")).checkpoint()
+        new = checkpointed(step.select("u", F.least("label", "near", "above").alias("label"), (F.least("label", "near", "above") != F.col("label")).alias("moved")))
         moved = new.where("moved").limit(1).count()
         labels = new.select("u", "label")
         if not moved:

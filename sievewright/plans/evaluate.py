@@ -87,11 +87,12 @@ def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def percentile_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("lang").agg(
+    nearest = x.nearest_percentiles(docs, ["lang"], "n_chars", {"nearest_50": 0.5, "nearest_95": 0.95})
+    others = docs.groupBy("lang").agg(
         *[x.interpolated_percentile("n_chars", q).alias(f"linear_{n}") for n, q in (("50", 0.5), ("75", 0.75))],
-        *[x.nearest_percentile(F.col("n_chars"), q).alias(f"nearest_{n}") for n, q in (("50", 0.5), ("95", 0.95))],
         *[x.ceiling_percentile("n_chars", q).cast("long").alias(f"ceiling_{n}") for n, q in (("50", 0.5), ("75", 0.75))],
     )
+    return others.join(nearest, "lang")
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,3 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the folder that the cluster names; a local one only where none is named."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="sievewright-"))
+    return df.checkpoint()
