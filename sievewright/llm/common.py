@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 import zlib
 
@@ -24,7 +26,21 @@ def scratch_dir(spark: SparkSession) -> str:
 
         shared = tempfile.mkdtemp(prefix="sievewright-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/sievewright-{spark.sparkContext.applicationId}"
+    folder = f"{shared.rstrip('/')}/sievewright-{spark.sparkContext.applicationId}"
+    if folder not in _SCRATCH:
+        _SCRATCH.add(folder)
+        atexit.register(_forget, spark, folder)
+    return folder
+
+
+_SCRATCH: set[str] = set()
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Delete what a session has written, when its driver ends before the session was stopped."""
+    with contextlib.suppress(Exception):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
