@@ -129,6 +129,12 @@ SELECT source AS scope, name, max(v) AS largest, CASE WHEN max(v) >= 500 THEN 50
     "chunk_type": "SELECT lang, CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(lower(text), '{w}')''' for w in words)} THEN '{name}'" for name, words in CATEGORIES.items()) + " ELSE 'prose' END AS category, count(*) AS n FROM documents GROUP BY ALL",
     "keyword_candidates": f"WITH x AS (SELECT doc_id, {_SEG} AS x FROM documents), u AS (SELECT doc_id, unnest(range(len(x)::BIGINT)) AS at, unnest(x) AS sentence FROM x) SELECT * FROM u WHERE length(sentence) >= 5 AND (contains(lower(sentence), 'licen') OR contains(lower(sentence), 'token') OR contains(lower(sentence), 'version'))",
     "overlap_chunks": "SELECT doc_id, k * 900 AS start, md5(substring(text, k * 900 + 1, 1000)) AS digest FROM (SELECT doc_id, text, unnest(range(CAST(greatest(0, ceil((length(text) - 1000) / 900.0)) AS BIGINT) + 1)) AS k FROM documents)",
+    "note_chunk_spans": """WITH RECURSIVE c AS (
+  SELECT doc_id, text, length(text) AS n, 0::BIGINT AS a, 0::BIGINT AS b FROM documents
+  UNION ALL
+  SELECT doc_id, text, n, b, CASE WHEN b + 1200 >= n THEN n WHEN instr(r, chr(10) || chr(10)) > 0 THEN b + 1201 - instr(r, chr(10) || chr(10)) WHEN instr(r, chr(10)) > 0 THEN b + 1201 - instr(r, chr(10)) WHEN instr(r, ' ') > 0 THEN b + 1201 - instr(r, ' ') ELSE b + 1200 END
+  FROM (SELECT *, reverse(substring(text, b + 601, 600)) AS r FROM c) WHERE b < n)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS position, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end" FROM c WHERE b > 0 AND regexp_matches(substring(text, a + 1, b - a), '\\S')""",
     "html_sections": r"""WITH p AS (SELECT page_id, t AS kind, unnest(regexp_extract_all(html, '(?s)<' || t || '(?:\s[^>]*)?>(.*?)</' || t || '>', 1)) AS x FROM pages, (VALUES ('h1'), ('h2'), ('li')) v(t)),
 q AS (SELECT page_id, kind, trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS text FROM p) SELECT page_id, kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, min(text) AS first FROM q WHERE text <> '' GROUP BY ALL""",
     "sft_messages": """WITH s AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations WHERE role <> 'system')
