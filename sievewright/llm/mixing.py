@@ -80,7 +80,8 @@ def fitted(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, words
         for batch in batches:
             for text, domain in zip(texts_of(batch), batch.column(1).to_pylist(), strict=True):
                 for w in blank_words(text):
-                    seen[w[:64], domain] = seen.get((w[:64], domain), 0) + 1
+                    if len(w) <= 64:  # longer ones are never among the most frequent
+                        seen[w, domain] = seen.get((w, domain), 0) + 1
         yield pa.RecordBatch.from_pydict({"word": pa.array([k[0] for k in seen], pa.binary()), "domain": pa.array([k[1] for k in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
     counts = sample.where("side = 0").mapInArrow(count, "word binary, domain string, n long")

@@ -33,9 +33,9 @@ def sentences(text: str | None) -> list[list[bytes]]:
 
 
 def features(word: bytes) -> list[bytes]:
-    """The word as a whole, and its beginnings of 4 to 8 characters, which inflected forms share."""
+    """The word as a whole, if it has 64 bytes at most, and its beginnings of 4 to 8 characters, which inflected forms share."""
     chars = word.decode("utf-8", "replace")
-    return [b"=" + word[:64], *(b"^" + chars[:n].encode() for n in range(4, min(8, len(chars)) + 1))]
+    return [*([b"=" + word] if len(word) <= 64 else []), *(b"^" + chars[:n].encode() for n in range(4, min(8, len(chars)) + 1))]
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, label_col: str, fit_rows: int, learn: Column | None) -> DataFrame:
