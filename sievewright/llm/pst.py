@@ -37,6 +37,8 @@ DISCOUNT = 0.75
 DEVIATIONS, LEAST_GAIN = 4.0, 0.003
 #: Tokens gathered before their frequent contexts are counted; bytes hashed at once.
 SEGMENT, BLOCK = 4_000_000, 1 << 18
+#: Tokens that a task holds before it sends its chunks' distinct ones; a chunk may send more than once.
+HELD = 12_000_000
 BUCKETS_PER_PARTITION = 8
 CHUNK_BYTES = 16 << 20
 
@@ -260,7 +262,7 @@ def _requests(docs: DataFrame, tree: Tree, buckets: int) -> DataFrame:
 
     def messages(chunk: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         tok, train = (np.concatenate(x) for x in zip(*parts, strict=True))
-        words, n_words, keys, n_keys = _asked(tok, train, shared.value)
+        words, n_words, keys, n_keys = _asked(tok, train.astype(np.int64), shared.value)
         cut = []
         for k, n in ((words, n_words), (keys, n_keys)):
             b = bucket_of(k)
@@ -275,19 +277,20 @@ def _requests(docs: DataFrame, tree: Tree, buckets: int) -> DataFrame:
                 })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, {}
+        part, held, n = None, {}, 0
         for batch in batches:
             parts, chunks, helds = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("part", "chunk", "held"))
             texts = texts_of(batch)
             for p in dict.fromkeys(parts.tolist()):
-                if p != part:  # the next part of the input: no chunk of the last one goes on
+                if p != part or n > HELD:  # the next part of the input: no chunk of the last one goes on
                     for c, x in held.items():
                         yield from messages(c, x)
-                    part, held = p, {}
+                    part, held, n = p, {}, 0
                 for c in np.unique(chunks[parts == p]).tolist():
                     rows = np.flatnonzero((parts == p) & (chunks == c))
                     for tok, doc in hashed([texts[r] for r in rows]):
-                        held.setdefault(c, []).append((tok, (~helds[rows][doc].astype(bool)).astype(np.int64)))
+                        held.setdefault(c, []).append((tok, ~helds[rows][doc].astype(bool)))
+                        n += len(tok)
         for c, x in held.items():
             yield from messages(c, x)
 
