@@ -16,6 +16,8 @@ from .common import blank_words, texts_of, written
 FIT_ROWS = 10_000
 #: Words it knows, the most frequent of those documents.
 WORDS = 20_000
+#: Words that a task counts before it sends the sums on.
+HELD_WORDS = 200_000
 #: Projected gradient steps at most, and the relative residual at which they end.
 STEPS, RESIDUAL = 60, 1e-4
 
@@ -75,6 +77,9 @@ def fitted(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, words
         return DomainModel(["unknown"], [], np.zeros((0, 1)), np.ones(1))
     domains = [d for d, _ in totals]
 
+    def sums(seen: dict[tuple[bytes, str], int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"word": pa.array([k[0] for k in seen], pa.binary()), "domain": pa.array([k[1] for k in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[bytes, str], int] = {}
         for batch in batches:
@@ -82,7 +87,10 @@ def fitted(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, words
                 for w in blank_words(text):
                     if len(w) <= 64:  # longer ones are never among the most frequent
                         seen[w, domain] = seen.get((w, domain), 0) + 1
-        yield pa.RecordBatch.from_pydict({"word": pa.array([k[0] for k in seen], pa.binary()), "domain": pa.array([k[1] for k in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+                if len(seen) > HELD_WORDS:
+                    yield sums(seen)
+                    seen = {}
+        yield sums(seen)
 
     counts = sample.where("side = 0").mapInArrow(count, "word binary, domain string, n long")
     by_word = counts.groupBy("word").pivot("domain", domains).agg(F.sum("n")).na.fill(0)

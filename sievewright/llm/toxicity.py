@@ -15,7 +15,9 @@ from .common import texts_of
 #: Labelled documents the model is fitted on at most, in the order of a hash of their ids.
 FIT_ROWS = 12_000
 #: Words whose weights a worker keeps; it changes no result.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
+#: Features that a task counts before it sends the sums on.
+HELD_FEATURES = 150_000
 #: Features with a weight: those whose presence tells the labels apart best.
 WORDS = 3000
 #: Documents that a feature must occur in to be one of them.
@@ -50,13 +52,19 @@ def _sampled(docs: DataFrame, labels: DataFrame, label_col: str, fit_rows: int,
 def _word_table(sample: DataFrame, words: int, least_docs: int) -> list[bytes]:
     """The features that separate the labels best by the z-score of their document frequencies."""
 
+    def sums(seen: dict[bytes, list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n0": pa.array([x[0] for x in seen.values()], pa.int64()), "n1": pa.array([x[1] for x in seen.values()], pa.int64())})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list[int]] = {}
         for batch in batches:
             for text, y in zip(texts_of(batch), batch.column(1).to_pylist(), strict=True):
                 for f in {f for w in {w for s in sentences(text) for w in s} for f in features(w)}:
                     seen.setdefault(f, [0, 0])[int(y)] += 1
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n0": pa.array([x[0] for x in seen.values()], pa.int64()), "n1": pa.array([x[1] for x in seen.values()], pa.int64())})
+                if len(seen) > HELD_FEATURES:
+                    yield sums(seen)
+                    seen = {}
+        yield sums(seen)
 
     counts = sample.mapInArrow(count, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     total = sample.agg(F.sum(1 - F.col("y")).alias("a"), F.sum("y").alias("b")).first()
