@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.logic import OPERATORS, Expr, compare, decision, in_window, incompatibility, truth
+from ..functions.logic import OPERATORS, ORDERED, Expr, truth_sql
 
 #: Facts: patient_id, fact_id, field, value_type, num, flag (boolean), str, day (date), unit, observed_at, evidence_ids.
 VALUE_COLUMNS = {"number": "num", "boolean": "flag", "string": "str", "date": "day"}
@@ -70,83 +70,96 @@ class Trial:
             raise ValueError("criteria of a trial are one at least and distinct")
 
 
-def _parts(atom: Atom, index: Column) -> dict[str, Column]:
-    days, direction = F.lit(atom.window_days).cast("int"), F.lit(atom.window_direction).cast("string")
-    own = F.col("field") == atom.field
-    fit = own & in_window(F.col("observed_at"), index, days, direction)
-    why = incompatibility(F.col("value_type"), F.lit(atom.value_type), F.col("unit"), F.lit(atom.unit).cast("string"), F.lit(atom.op))
-    value = F.col(VALUE_COLUMNS[atom.value_type])
-    outcome = F.when(why.isNull(), compare(F.lit(atom.op), value, F.lit(atom.expected).cast(dict(number="double", boolean="boolean", string="string", date="date")[atom.value_type])))
-    return {"own": own, "fit": fit, "why": why, "outcome": outcome}
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def atom_aggregates(atom: Atom, index: Column) -> list[Column]:
-    """What one pass over a patient's facts has to gather for the atom, as one struct column named by its id."""
-    x = _parts(atom, index)
-    fit = x["fit"]
+def _name(condition_id: str) -> str:
+    return "`" + condition_id.replace("`", "``") + "`"
+
+
+def _expected(atom: Atom) -> str:
+    kind = {"number": "DOUBLE", "boolean": "BOOLEAN", "string": "STRING", "date": "DATE"}[atom.value_type]
+    return f"CAST({_text(str(atom.expected))} AS {kind})"
+
+
+def _fact_sql(atom: Atom) -> str:
+    """What one fact says on an atom: whether it is of its field and within its window, why it can't be compared, and
+    the outcome. Built as SQL text: a rule set is hundreds of expressions, and each column object is a call to the JVM."""
+    days, at = atom.window_days, "observed_at"
+    if days is None:
+        window = f"({at} IS NULL OR {at} <= __index)"
+    elif atom.window_direction == "past":
+        window = f"{at} BETWEEN date_sub(__index, {days}) AND __index"
+    else:
+        window = f"{at} BETWEEN __index AND date_add(__index, {days})"
+    unit = f"WHEN NOT (unit <=> {'NULL' if atom.unit is None else _text(atom.unit)}) THEN 'unit_mismatch' " if atom.value_type == "number" else ""
+    order = "WHEN true THEN 'operator_mismatch' " if atom.value_type not in ORDERED and atom.op not in ("==", "!=") else ""
+    why = f"CASE WHEN value_type <> '{atom.value_type}' THEN 'type_mismatch' {unit}{order}END"
+    return f"named_struct('own', field = {_text(atom.field)}, 'fit', field = {_text(atom.field)} AND coalesce({window}, false), 'why', {why}, 'outcome', CASE WHEN ({why}) IS NULL THEN {VALUE_COLUMNS[atom.value_type]} {atom.op} {_expected(atom)} END) AS {_name(atom.condition_id)}"
+
+
+def _gather_sql(atom: Atom) -> str:
+    """The aggregate of an atom over a patient's facts, as one struct."""
+    c = _name(atom.condition_id)
+    future = f"count_if({c}.own AND observed_at > __index)"
     if atom.selection == "latest":
-        fit = fit & F.col("observed_at").isNotNull()
         # of facts observed on one day the first one by id counts
-        order = F.struct("observed_at", -F.col("fact_id").cast("long"))
-        last = F.max_by(F.struct(x["outcome"].alias("outcome"), x["why"].alias("why")), F.when(fit, order))
-        gathered = [F.count_if(x["fit"]).alias("n_window"), F.count_if(fit).alias("n_fit"), F.coalesce(last["outcome"], F.lit(False)).alias("any_true"), (last["outcome"].isNotNull() & ~last["outcome"]).alias("any_false"),
-                    F.when(last["why"].isNotNull(), F.array(last["why"])).otherwise(F.array().cast("array<string>")).alias("issues")]
+        last = f"max_by({c}, CASE WHEN {c}.fit AND observed_at IS NOT NULL THEN struct(observed_at, -CAST(fact_id AS BIGINT)) END)"
+        parts = (f"count_if({c}.fit AND observed_at IS NOT NULL)", f"coalesce({last}.outcome, false)", f"coalesce(NOT {last}.outcome, false)", f"array_compact(array({last}.why))")
     else:
-        gathered = [
-            F.count_if(fit).alias("n_window"), F.count_if(fit).alias("n_fit"), F.coalesce(F.bool_or(F.when(fit, x["outcome"])), F.lit(False)).alias("any_true"),
-            F.coalesce(F.bool_or(F.when(fit, ~x["outcome"])), F.lit(False)).alias("any_false"), F.array_sort(F.collect_set(F.when(fit, x["why"]))).alias("issues"),
-        ]
-    future = F.count_if(x["own"] & (F.col("observed_at") > index)).alias("n_future")
-    return [F.struct(*gathered, future).alias(atom.condition_id)]
+        fits = lambda x: f"coalesce(bool_or(CASE WHEN {c}.fit THEN {x} END), false)"
+        parts = (f"count_if({c}.fit)", fits(f"{c}.outcome"), fits(f"NOT {c}.outcome"), f"array_sort(collect_set(CASE WHEN {c}.fit THEN {c}.why END))")
+    names = ("n_fit", "any_true", "any_false", "issues")
+    return f"named_struct('n_window', count_if({c}.fit), {', '.join(f'{n!r}, {x}' for n, x in zip(names, parts, strict=True))}, 'n_future', {future}) AS {c}"
 
 
-def atom_truth(atom: Atom) -> Column:
+def _truth_sql(atom: Atom) -> str:
     """ANY and LATEST: one true fact suffices, false needs that none is incompatible. ALL: one false fact suffices."""
-    c = F.col(atom.condition_id)
-    clean = F.size(c["issues"]) == 0
+    c = _name(atom.condition_id)
     if atom.selection == "all":
-        return F.when(c["any_false"], False).when(c["any_true"] & clean, True)
-    return F.when(c["any_true"], True).when(c["any_false"] & clean, False)
+        return f"CASE WHEN {c}.any_false THEN false WHEN {c}.any_true AND size({c}.issues) = 0 THEN true END"
+    return f"CASE WHEN {c}.any_true THEN true WHEN {c}.any_false AND size({c}.issues) = 0 THEN false END"
 
 
-def atom_issue(atom: Atom) -> Column:
+def _issue_sql(atom: Atom) -> str:
     """Why a value is missing or partial; null if nothing is wrong."""
-    c = F.col(atom.condition_id)
-    chain = F.when((c["n_window"] == 0) & (c["n_future"] > 0), F.lit("future_fact_excluded")).when(c["n_window"] == 0, F.lit("no_usable_fact"))
-    return chain.when(c["n_fit"] == 0, F.lit("latest_requires_date")).when(F.size(c["issues"]) > 0, F.concat_ws("+", c["issues"]))
+    c = _name(atom.condition_id)
+    return f"CASE WHEN {c}.n_window = 0 AND {c}.n_future > 0 THEN 'future_fact_excluded' WHEN {c}.n_window = 0 THEN 'no_usable_fact' WHEN {c}.n_fit = 0 THEN 'latest_requires_date' WHEN size({c}.issues) > 0 THEN concat_ws('+', {c}.issues) END"
 
 
 def patient_atoms(facts: DataFrame, atoms: list[Atom], index: Column, patients: DataFrame | None = None) -> DataFrame:
     """One row per patient, one struct per atom. Patients without facts come from `patients`, if given."""
-    found = facts.groupBy("patient_id").agg(*[c for a in atoms for c in atom_aggregates(a, index)])
+    said = facts.withColumn("__index", index).selectExpr("patient_id", "fact_id", "observed_at", "__index", *[_fact_sql(a) for a in atoms])
+    found = said.groupBy("patient_id").agg(*[F.expr(_gather_sql(a)) for a in atoms])
     if patients is None:
         return found
+    empty = "named_struct('n_window', 0L, 'n_fit', 0L, 'any_true', false, 'any_false', false, 'issues', CAST(array() AS ARRAY<STRING>), 'n_future', 0L)"
     filled = patients.select("patient_id").distinct().join(found, "patient_id", "left")
-    empty = lambda a: F.struct(*[F.lit(0).cast("long").alias(k) for k in ("n_window", "n_fit")], F.lit(False).alias("any_true"), F.lit(False).alias("any_false"), F.array().cast("array<string>").alias("issues"), F.lit(0).cast("long").alias("n_future"))
-    return filled.withColumns({a.condition_id: F.coalesce(F.col(a.condition_id), empty(a)) for a in atoms})
+    return filled.selectExpr("patient_id", *[f"coalesce({_name(a.condition_id)}, {empty}) AS {_name(a.condition_id)}" for a in atoms])
 
 
 def atom_decisions(gathered: DataFrame, atoms: list[Atom]) -> DataFrame:
     """Rows (patient_id, condition_id, truth, n_fit, n_future, issue)."""
-    rows = F.array(*[F.struct(F.lit(a.condition_id).alias("condition_id"), atom_truth(a).alias("truth"), F.col(a.condition_id)["n_fit"].alias("n_fit"), F.col(a.condition_id)["n_future"].alias("n_future"), atom_issue(a).alias("issue")) for a in atoms])
-    return gathered.select("patient_id", F.inline(rows))
+    rows = ", ".join(f"named_struct('condition_id', {_text(a.condition_id)}, 'truth', {_truth_sql(a)}, 'n_fit', {_name(a.condition_id)}.n_fit, 'n_future', {_name(a.condition_id)}.n_future, 'issue', {_issue_sql(a)})" for a in atoms)
+    return gathered.selectExpr("patient_id", f"inline(array({rows}))")
 
 
 def criterion_decisions(gathered: DataFrame, atoms: list[Atom], trials: list[Trial]) -> DataFrame:
     """Rows (patient_id, trial_id, criterion_id, decision, hard, weight, n_atoms, n_resolved, issues)."""
-    by_id = {a.condition_id: a for a in atoms}
-    truths = {k: atom_truth(a) for k, a in by_id.items()}
+    flat = gathered.selectExpr("patient_id", *[f"{_truth_sql(a)} AS {_name('t ' + a.condition_id)}" for a in atoms], *[f"{_issue_sql(a)} AS {_name('i ' + a.condition_id)}" for a in atoms])
+    truths = {a.condition_id: _name("t " + a.condition_id) for a in atoms}
     rows = []
     for t in trials:
         for c in t.criteria:
             own = c.conditions()
-            resolved = sum((truths[k].isNotNull().cast("int") for k in own), F.lit(0))
-            issues = F.array_distinct(F.array_compact(F.array(*[F.when(atom_issue(by_id[k]).isNotNull(), F.concat(F.lit(f"{k}: "), atom_issue(by_id[k]))) for k in own])))
-            rows.append(F.struct(
-                F.lit(t.trial_id).alias("trial_id"), F.lit(c.criterion_id).alias("criterion_id"), decision(truth(c.tree, truths), F.lit(c.kind)).alias("decision"),
-                F.lit(c.hard).alias("hard"), F.lit(float(c.weight)).alias("weight"), F.lit(len(own)).alias("n_atoms"), resolved.alias("n_resolved"), issues.alias("issues"),
-            ))
-    return gathered.select("patient_id", F.inline(F.array(*rows)))
+            value = truth_sql(c.tree, truths)
+            met = value if c.kind == "inclusion" else f"(NOT {value})"
+            decided = f"CASE WHEN {met} IS NULL THEN 'unknown' WHEN {met} THEN 'eligible' ELSE 'ineligible' END"
+            resolved = " + ".join(f"CAST({truths[k]} IS NOT NULL AS INT)" for k in own)
+            issues = ", ".join(f"concat({_text(k + ': ')}, {_name('i ' + k)})" for k in own)
+            rows.append(f"named_struct('trial_id', {_text(t.trial_id)}, 'criterion_id', {_text(c.criterion_id)}, 'decision', {decided}, 'hard', {str(c.hard).lower()}, 'weight', {float(c.weight)}D, 'n_atoms', {len(own)}, 'n_resolved', {resolved}, 'issues', array_distinct(array_compact(array({issues}))))")
+    return flat.selectExpr("patient_id", f"inline(array({', '.join(rows)}))")
 
 
 def matches(decisions: DataFrame) -> DataFrame:
@@ -190,8 +203,9 @@ def latest_facts(facts: DataFrame, index: Column) -> DataFrame:
 def cited_evidence(facts: DataFrame, atoms: list[Atom], index: Column) -> DataFrame:
     """Rows (patient_id, condition_id, evidence): what each atom's in-window facts cite, incompatible ones too,
     each once, in the order of the facts' ids."""
-    rows = F.array_compact(F.array(*[F.when(_parts(a, index)["fit"], F.lit(a.condition_id)) for a in atoms]))
-    cited = facts.select("patient_id", "fact_id", "evidence_ids", F.explode(rows).alias("condition_id"))
+    said = facts.withColumn("__index", index).selectExpr("patient_id", "fact_id", "evidence_ids", *[_fact_sql(a) for a in atoms])
+    fitting = ", ".join(f"CASE WHEN {_name(a.condition_id)}.fit THEN {_text(a.condition_id)} END" for a in atoms)
+    cited = said.selectExpr("patient_id", "fact_id", "evidence_ids", f"explode(array_compact(array({fitting}))) AS condition_id")
     first = cited.select("patient_id", "condition_id", "fact_id", F.posexplode("evidence_ids").alias("pos", "evidence")).groupBy("patient_id", "condition_id", "evidence").agg(F.min(F.struct("fact_id", "pos")).alias("at"))
     ordered = F.array_sort(F.collect_list(F.struct("at", "evidence")))
     return first.groupBy("patient_id", "condition_id").agg(F.transform(ordered, lambda x: x["evidence"]).alias("evidence"))
