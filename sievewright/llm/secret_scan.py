@@ -86,12 +86,6 @@ class Novelty:
         return max(0, size(before + candidate + after) - size(before + after)) / len(candidate)
 
 
-def _varied(candidate: str) -> bool:
-    """Two digits or more beside letters, as words and numbers seldom have."""
-    digits = sum(c.isdigit() for c in candidate)
-    return 2 <= digits < sum(c.isalnum() for c in candidate)
-
-
 def novel_spans(text: str, known: list[Span], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, float]]:
     """Candidates in a sensitive context, apart from known spans, whose novelty is `least` or more."""
     places = [m.end() for m in SENSITIVE.finditer(text)]
@@ -103,7 +97,7 @@ def novel_spans(text: str, known: list[Span], novelty: Novelty, least: float = N
                 break
             a, b = m.start(), CANDIDATE.match(text, m.start()).end()
             done = max(done, b)
-            if not _varied(m[0]) or any(s < b and a < e for _, s, e in known):
+            if any(s < b and a < e for _, s, e in known):
                 continue
             value = novelty.bytes_per_character(text[a:b], text[max(0, a - SURROUNDING) : a], text[b : b + SURROUNDING])
             if value >= least:
