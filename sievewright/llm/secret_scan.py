@@ -25,10 +25,16 @@ BASE = {
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: What makes the text before a candidate sensitive; any case.
 SENSITIVE = re.compile(r"(?i:passphrase|password|passwd|pwd|secret|token|api.?key|access.?key|private.?key|auth|bearer|credential|signature|client.?id|session|cookie|ssh-(?:rsa|ed25519))")
-#: Characters before a candidate in which a sensitive word counts, and around it that compression may draw on.
+#: What parts the lines or sections of one string: blanks, dots, quotes and the like, or a plus of string constants.
+JOIN = re.compile(r"[^A-Za-z0-9+/_=-]{1,40}(?:\+[^A-Za-z0-9+/_=-]{1,40})?")
+#: The last line of a PEM block, if it is too short for a candidate.
+PEM_TAIL = re.compile(r"[^A-Za-z0-9+/_=-]{1,40}([A-Za-z0-9+/=]{1,15})(?=[^A-Za-z0-9+/_=-]{1,40}-----END)")
+#: Characters between a candidate and a sensitive word before or after it, and around it that compression may draw on.
 CONTEXT, SURROUNDING = 40, 512
 #: Marginal compressed bytes per character from which a candidate is reported: random strings have 0.93 to 1.5, new words 0.4 to 0.9.
 NOVELTY = 0.92
+#: The same for further parts of a reported string: what the six random bits of a base64 character take.
+CARRIED = 0.75
 
 #: What code and configuration are full of; it primes the compressor, so that such strings cost few bytes.
 IDENTIFIERS = " ".join(
@@ -86,22 +92,61 @@ class Novelty:
         return max(0, size(before + candidate + after) - size(before + after)) / len(candidate)
 
 
+def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Candidates in a sensitive context, each once, those that are parts of one string together.
+
+    A candidate counts if a sensitive word stands within CONTEXT characters before or after it, or if only JOIN
+    parts it from one that counts.
+    """
+    done, back, size = 0, "", len(text)
+    for word in SENSITIVE.finditer(text):
+        back = back or text[::-1]
+        # before the word on the reversed text, so the nearest comes first
+        before = [(size - b, size - a) for a, b in reversed(_near(back, size - word.start(), size - done))]
+        after = _near(text, max(word.end(), done), size, word.end())
+        for side in (before, after):
+            run: list[tuple[int, int]] = []
+            for a, b in side:
+                if run and not JOIN.fullmatch(text, run[-1][1], a):
+                    yield run
+                    run = []
+                run.append((a, b))
+                done = max(done, b)
+            if run:
+                yield run
+
+
+def _near(text: str, at: int, end: int, place: int | None = None) -> list[tuple[int, int]]:
+    """Candidates from `at` that start within CONTEXT of `place`, and those that JOIN alone parts from them."""
+    last = min(end, (at if place is None else place) + CONTEXT)
+    found: list[tuple[int, int]] = []
+    while at <= last and (m := CANDIDATE.search(text, at, min(end, last + 16))):
+        while m:
+            m = CANDIDATE.match(text, m.start(), end)
+            at = m.end()
+            found.append((m.start(), at))
+            gap = JOIN.match(text, at, end)
+            m = gap and CANDIDATE.match(text, gap.end(), end)
+    return found
+
+
 def novel_spans(text: str, known: list[Span], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, float]]:
-    """Candidates in a sensitive context, apart from known spans, whose novelty is `least` or more."""
-    places = [m.end() for m in SENSITIVE.finditer(text)]
+    """Candidates in a sensitive context, apart from known spans, whose novelty is `least` or more.
+
+    Parts of one string are measured against what stands around all of them, since random lines beside it would
+    make a random line look ordinary; beside a reported part CARRIED is enough. A shorter last line of a PEM block goes with a reported line before it.
+    """
     found = []
-    done = 0
-    for place in places:
-        for m in CANDIDATE.finditer(text, max(place, done), min(len(text), place + CONTEXT + SURROUNDING)):
-            if m.start() - place > CONTEXT:
-                break
-            a, b = m.start(), CANDIDATE.match(text, m.start()).end()
-            done = max(done, b)
-            if any(s < b and a < e for _, s, e in known):
-                continue
-            value = novelty.bytes_per_character(text[a:b], text[max(0, a - SURROUNDING) : a], text[b : b + SURROUNDING])
-            if value >= least:
+    for run in _runs(text):
+        before, after = text[max(0, run[0][0] - SURROUNDING) : run[0][0]], text[run[-1][1] : run[-1][1] + SURROUNDING]
+        free = [(a, b) for a, b in run if not any(s < b and a < e for _, s, e in known)]
+        values = [novelty.bytes_per_character(text[a:b], before, after) for a, b in free]
+        bar = min(least, CARRIED) if max(values, default=0) >= least else least
+        for (a, b), value in zip(free, values, strict=True):
+            if value >= bar:
                 found.append((a, b, value))
+                if (a, b) == run[-1] and (tail := PEM_TAIL.match(text, b)):
+                    found.append((*tail.span(1), value))
     return found
 
 
