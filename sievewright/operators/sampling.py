@@ -13,6 +13,10 @@ from ..functions.vector import dot, normalized
 from ..session import checkpointed
 
 
+#: Parts of all vectors that are compared with one another where no block is given.
+TILES = 16
+
+
 def hash_sample(rows: DataFrame, key: str, n: int, seed: str, strata: Sequence[str] = ()) -> DataFrame:
     """The n rows (of each stratum) whose hashes come first: the same ones in whatever order the rows come.
 
@@ -71,12 +75,20 @@ def pooled(vectors: DataFrame, group: str, vec: str) -> DataFrame:
     return rows.select(group, normalized(F.col("mean")).alias("pooled"))
 
 
-def cosine_pairs(vectors: DataFrame, key: str, vec: str, block: str, threshold: float, split: str | None = None) -> DataFrame:
+def cosine_pairs(vectors: DataFrame, key: str, vec: str, block: str | None, threshold: float, split: str | None = None) -> DataFrame:
     """Pairs (left_id, right_id, similarity) of one block whose cosine is `threshold` or more; with `split` only those
-    on different sides. A block is the unit within which pairs count, such as a label: it is the join's key."""
-    unit = vectors.select(key, block, *([split] if split else []), normalized(F.col(vec)).alias("u")).where("u is not null")
+    on different sides. A block is the unit within which pairs count, such as a label: it is the join's key. Without
+    a block all vectors are compared: they are dealt to TILES by a hash, and each pair of tiles is a group of its own."""
+    unit = vectors.select(key, *([block] if block else []), *([split] if split else []), normalized(F.col(vec)).alias("u")).where("u is not null")
+    if block is None:
+        tile = F.pmod(F.xxhash64(key), F.lit(TILES)).cast("int")
+        unit = unit.withColumn("__tile", tile).withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(TILES - 1))))
+        unit = unit.withColumn("__tiles", F.least("__tile", "__other") * TILES + F.greatest("__tile", "__other"))
     a, b = unit.alias("a"), unit.alias("b")
-    on = (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
+    same = block or "__tiles"
+    on = (F.col(f"a.{same}") == F.col(f"b.{same}")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
+    if block is None:  # two of a tile meet where it is paired with itself
+        on = on & ((F.col("a.__tile") != F.col("b.__tile")) | (F.col("a.__tile") == F.col("a.__other")))
     if split:
         on = on & (F.col(f"a.{split}") != F.col(f"b.{split}"))
     similarity = dot(F.col("a.u"), F.col("b.u"))
