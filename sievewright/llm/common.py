@@ -22,6 +22,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a local one only where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", "")
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         import tempfile
 
         shared = tempfile.mkdtemp(prefix="sievewright-")
@@ -34,10 +36,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 _SCRATCH: set[str] = set()
+_TABLES: list[str] = []
 
 
 def _forget(spark: SparkSession, folder: str) -> None:
     """Delete what a session has written, when its driver ends before the session was stopped."""
+    with contextlib.suppress(Exception):
+        for name in _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     with contextlib.suppress(Exception):
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -57,6 +63,14 @@ def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     return df.sparkSession.read.schema(nullable).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """df written to the shared folder in buckets of a column, so that grouping by it again moves nothing."""
+    name = f"sievewright_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{scratch_dir(df.sparkSession)}/{name}").saveAsTable(name)
+    _TABLES.append(name)
+    return df.sparkSession.table(name)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

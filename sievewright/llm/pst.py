@@ -1,53 +1,64 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Contexts of up to two words are kept where the corpus has them often enough and where what follows them diverges
-from what follows their suffix. A word's probability comes from the longest kept suffix of what stands before it,
-smoothed by absolute discounting down to the unigrams, which are smoothed by adding one.
-
-How it runs. A chunk is a part of an input file. (1) One scan finds the frequent contexts; there are at most
-1 / P_MIN of each length, so they are broadcast. (2) Each chunk sends the distinct words, and the distinct words
-after frequent contexts, with their training counts to buckets of their hashes; each bucket adds up all chunks'
-counts and sends each chunk back the totals of what it asked for. (3) Statistics of at most 2 / P_MIN contexts
-go to the driver, which tests their divergence; each chunk's texts then meet its totals and are scored. So what
-moves is each chunk's distinct words, not its tokens, no table of all words is needed in one place, and a word or
-a context that is everywhere costs one entry per chunk.
+A context of up to `depth` words is a state if the corpus has it at least `least` times and what follows it diverges
+from what follows its suffix (the context without its first word): the sum over its occurrences of the logarithm of
+the ratio of the two probabilities of what follows, each occurrence left out of the counts that judge it, reaches
+`bar` nats. So states are told by counts and divergence, not by a share of the corpus; they grow with it. A token's
+probability comes from the longest state that is a suffix of what stands before it, smoothed by the next shorter one:
+(n + strength * p) / (N + strength), down to the unigrams, which are smoothed by adding one.
+
+How it runs. (1) The texts become chunks of about CHUNK tokens: hashes of distinct words and each token's number among
+them. They are written once, bucketed by chunk, so that no later step moves them. (2) Each chunk sends its distinct
+words and pairs of words with their training counts to buckets of their hashes; a bucket adds up all chunks' counts and
+answers each chunk with totals, in the order asked. (3) For each further word of context, chunks ask for the followers
+of those contexts alone that occur often enough, together with the suffix's probability, which they know by now; the
+bucket of a context sees all its followers and decides on the state. Contexts that are too frequent for one bucket are
+dealt by follower, and their gains added up over buckets. (4) Each chunk scores its texts with the answers.
+
+Nothing that grows with the corpus reaches the driver or is broadcast but the states among contexts of more than a
+HOT_SHARE of all tokens, at most 1 / HOT_SHARE of each length. Sums are of whole numbers, so the results do not depend
+on how the input is cut into tasks. A repeated run after a lost executor sends the same rows.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, texts_of, written
+from .common import bucketed, shuffle_parts, texts_of, written
 
-#: Least share of the training tokens that a context stands before, to be considered.
-P_MIN = 1e-4
-#: Least share of the training tokens of a word that divergence tests tell apart from the rest.
-P_COMMON = 2e-3
-#: Counts below it are left to the shorter context.
+#: Words of the longest contexts.
+DEPTH = 3
+#: Training occurrences that a context needs.
 LEAST = 2
-DISCOUNT = 0.75
-#: A context is kept if the likelihood ratio exceeds what chance gives by so many standard deviations, and if it
-#: gains so many nats a token on its suffix.
-DEVIATIONS, LEAST_GAIN = 4.0, 0.003
-#: Tokens gathered before their frequent contexts are counted; bytes hashed at once.
-SEGMENT, BLOCK = 4_000_000, 1 << 18
-#: Tokens that a task holds before it sends its chunks' distinct ones; a chunk may send more than once.
-HELD = 12_000_000
+#: Nats by which a context's own counts must beat its suffix's on what follows it.
+BAR = 1.0
+#: Occurrences that the shorter context's probability counts as.
+STRENGTH = 16.0
+#: Tokens of a chunk (a longer text is a chunk of its own); bytes hashed at once.
+CHUNK, BLOCK = 3_000_000, 1 << 18
+#: A context with more occurrences, and more than this share of all tokens, is dealt over the buckets by follower.
+HOT, HOT_SHARE = 1 << 16, 1e-6
 BUCKETS_PER_PARTITION = 8
-CHUNK_BYTES = 16 << 20
+#: Words of so many bytes and more are hashed by XXH3, shorter ones together by a polynomial.
+LONG_WORD = 32
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
-_LOW = 46  # bits of a follower's hash in the key of a context and a follower; one more marks common words
-_FOLLOWER = np.uint64((1 << _LOW) - 1)
-_HASHED = np.uint64(1 << _LOW)
+_CUT = np.uint64(8)  # keys of pairs and contexts have 56 bits
+_FOLLOWER = np.uint64((1 << 32) - 1)
+_FIXED = 65536.0  # gains are whole numbers of 1 / _FIXED nats
+_FINE = 1024.0  # logarithms of suffixes' probabilities travel as whole numbers of 1 / _FINE nats
 
 _rng = np.random.default_rng(64)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -56,6 +67,8 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+# --- words ---
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
@@ -86,8 +99,9 @@ END = mix(np.array([0x5EED], dtype=np.uint64))[0]
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words between white space, and where they start.
 
-    A polynomial with a random number for each byte value, modulo 2^64: two different words share one with a
-    probability of about 2^-64.
+    Words under LONG_WORD bytes: a polynomial modulo 2^64 with a random number for each byte value, all words of the
+    text at once. Such polynomials are weak on long words (Thue-Morse sequences of 1,024 bytes collide in any base),
+    so those get XXH3. Two different words share a hash with a probability of about 2^-64.
     """
     b = np.frombuffer(raw, np.uint8)
     inside = np.concatenate(([False], ~_BLANK[b], [False]))
@@ -96,7 +110,10 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     power, inverse = _power_tables(len(b) + 1)
     total = np.zeros(len(b) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[b] * power[: len(b)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD), starts
+    out = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    for k in np.flatnonzero(ends - starts >= LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+    return out, starts
 
 
 def _blocks(raw: bytes) -> Iterator[bytes]:
@@ -138,328 +155,424 @@ def _hashed(raws: list[bytes], first: int) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(tok, at, END), np.insert(doc, at, np.arange(len(raws))) + first
 
 
-def contexts(tok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token the keys of the one and of the two tokens before it, and whether the second is within its text.
+# --- numbers on the wire ---
 
-    A text's first token has END before it, which stands for the text's start.
-    """
-    one = np.concatenate(([END], tok[:-1]))
-    two = np.concatenate(([END, END], tok[:-2]))[: len(tok)]
-    return mix(one ^ _ODD), pair_key(two, one), one != END
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, byte by byte of equal weight, compressed."""
+    x = np.ascontiguousarray(x, dtype="<u8")
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return struct.pack("<QB", len(x), width) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(mix(a + _M1) * _M2 + b)
+def unpacked(data: bytes) -> np.ndarray:
+    n, width = struct.unpack_from("<QB", data)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[9:], max_output_size=max(1, n * width)), np.uint8).reshape(width, n).T
+    return out.view("<u8").reshape(n)
 
 
-def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where each key is in a sorted array, -1 if it is not."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1, dtype=np.int64)
-    at = np.searchsorted(sorted_keys, keys)
-    at[at == len(sorted_keys)] = 0
-    return np.where(sorted_keys[at] == keys, at, -1)
+def _packed_sorted(x: np.ndarray) -> bytes:
+    return packed(np.diff(x, prepend=np.uint64(0)))
 
 
-@dataclass
-class Tree:
-    """The candidates by key, and, once tested, what scoring needs of each. Length one comes before length two."""
+def _unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
 
-    one: np.ndarray
-    two: np.ndarray
-    suffix: np.ndarray  # of each context of two words: the number of its last word's context, or -1
-    common: np.ndarray  # hashes of common words, sorted
-    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=bool))
-    total: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    left: np.ndarray = field(default_factory=lambda: np.zeros(0))  # mass that the shorter context shares out
-    tokens: int = 0
-    words: int = 0
 
-    def numbers(self, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the numbers of its contexts of one and of two words, or -1."""
-        c1, c2, inside = contexts(tok)
-        n1, n2 = find(self.one, c1), find(self.two, c2)
-        return n1, np.where(inside & (n2 >= 0), n2 + len(self.one), -1)
+def _packed_signed(x: np.ndarray) -> bytes:
+    x = x.astype(np.int64)
+    return packed(((x << 1) ^ (x >> 63)).view(np.uint64))
 
-    def follower(self, number: np.ndarray, tok: np.ndarray) -> np.ndarray:
-        """Key of a context's number and the token after it; a common word is told by its number, others by a hash."""
-        at = find(self.common, tok)
-        low = np.where(at >= 0, at.astype(np.uint64), (mix(tok) & _FOLLOWER) | _HASHED)
-        return (number.astype(np.uint64) << np.uint64(_LOW + 1)) | low
 
+def _unpacked_signed(data: bytes) -> np.ndarray:
+    x = unpacked(data)
+    return (x >> np.uint64(1)).astype(np.int64) ^ -(x & np.uint64(1)).astype(np.int64)
 
-def _candidates(docs: DataFrame, p_min: float, p_common: float) -> Tree:
-    """Contexts that are surely frequent: parts of the corpus report what is frequent in them, the reports add up.
 
-    Counts of reports are lower bounds, so no more than 1 / p_min contexts of a length reach p_min.
-    """
+def _bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n = 0
-        for batch in batches:
-            for tok, _ in hashed(texts_of(batch)):
-                held.append(tok)
-                n += len(tok)
-                if n >= SEGMENT:
-                    yield _reports(np.concatenate(held), p_min)
-                    held, n = [], 0
-        if held:
-            yield _reports(np.concatenate(held), p_min)
-
-    found = docs.where("not held").select("text").mapInArrow(run, "kind int, k long, suffix long, n long")
-    sums = written(found.groupBy("kind", "k", "suffix").agg(F.sum("n").alias("n")), "reports")
-    total = sums.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    rows = sums.where((F.col("kind") > 0) & (F.col("n") >= F.lit(p_min * total))).toArrow()
-    kind, n = rows.column("kind").to_numpy(), rows.column("n").to_numpy()
-    k, suffix = (rows.column(c).to_numpy().view(np.uint64) for c in ("k", "suffix"))
-    words = np.sort(k[kind == 1])
-    one = np.sort(mix(words ^ _ODD))
-    two, at = np.unique(k[kind == 2], return_index=True)
-    return Tree(one, two, find(one, mix(suffix[kind == 2][at] ^ _ODD)), np.sort(k[(kind == 1) & (n >= p_common * total)]))
-
-
-def _reports(tok: np.ndarray, p_min: float) -> pa.RecordBatch:
-    least = max(2.0, p_min * len(tok) / 4)
-    word, n_word = np.unique(tok, return_counts=True)
-    often = n_word >= least
-    word, n_word = word[often], n_word[often]
-    before = np.concatenate(([END], tok[:-1]))
-    # both words of a frequent pair are frequent
-    fit = (find(word, before) >= 0) & (find(word, tok) >= 0) & (tok != END)
-    pair, at, n_pair = np.unique(pair_key(before[fit], tok[fit]), return_index=True, return_counts=True)
-    often = n_pair >= least
-    pair, last, n_pair = pair[often], tok[fit][at[often]], n_pair[often]
-    return pa.RecordBatch.from_pydict({
-        "kind": pa.array(np.repeat([0, 1, 2], [1, len(word), len(pair)]), pa.int32()),
-        "k": np.concatenate(([0], word.view(np.int64), pair.view(np.int64))).astype(np.int64),
-        "suffix": np.concatenate(([0], np.zeros(len(word), np.int64), last.view(np.int64))).astype(np.int64),
-        "n": np.concatenate(([len(tok)], n_word, n_pair)).astype(np.int64),
-    })
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, an index of each, and for each key the number of its distinct one."""
+    order = np.argsort(keys)
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
-
-
-def _asked(tok: np.ndarray, train: np.ndarray, tree: Tree) -> tuple[np.ndarray, ...]:
-    n1, n2 = tree.numbers(tok)
-    has1, has2 = n1 >= 0, n2 >= 0
-    keys = np.concatenate((tree.follower(n1[has1], tok[has1]), tree.follower(n2[has2], tok[has2])))
-    return (*_summed(tok, train), *_summed(keys, np.concatenate((train[has1], train[has2]))))
-
-
-def _requests(docs: DataFrame, tree: Tree, buckets: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(tree)  # at most 2 / P_MIN contexts
-    shift = np.uint64(64 - (buckets - 1).bit_length()) if buckets > 1 else None
-
-    def bucket_of(keys: np.ndarray) -> np.ndarray:
-        return (mix(keys) >> shift).astype(np.int64) if shift is not None else np.zeros(len(keys), dtype=np.int64)
-
-    def messages(chunk: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        tok, train = (np.concatenate(x) for x in zip(*parts, strict=True))
-        words, n_words, keys, n_keys = _asked(tok, train.astype(np.int64), shared.value)
-        cut = []
-        for k, n in ((words, n_words), (keys, n_keys)):
-            b = bucket_of(k)
-            order = np.argsort(b, kind="stable")
-            cut.append((k[order], n[order], np.searchsorted(b[order], np.arange(buckets + 1))))
-        for b in range(buckets):
-            x = [a[at[b] : at[b + 1]] for k, n, at in cut for a in (k, n)]
-            if len(x[0]) or len(x[2]):
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array([b], pa.int32()), "chunk": pa.array([chunk], pa.int64()), "words": [x[0].tobytes()], "n_words": [x[1].astype(np.int32).tobytes()],
-                    "keys": [x[2].tobytes()], "n_keys": [x[3].astype(np.int32).tobytes()],
-                })
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    back = np.empty(len(keys), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return keys[new], order[new], back
+
+
+def gains(n: np.ndarray, total: np.ndarray, p: np.ndarray, strength: float) -> np.ndarray:
+    """What n occurrences of a follower gain on the suffix's probability p, each left out of the n and the total."""
+    n = n.astype(np.float64)
+    gain = n * np.log((n - 1 + strength * p) / ((total - 1 + strength) * p))
+    return np.rint(gain * _FIXED).astype(np.int64)
+
+
+def _rows(**columns: list) -> pa.RecordBatch:
+    kinds = {"x": pa.list_(pa.binary()), "chunk": pa.int64()}
+    return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int32())) for k, v in columns.items()})
+
+
+# --- chunks ---
+
+def _chunks(docs: DataFrame, parts: int, tokens: int) -> DataFrame:
+    """A row for each chunk: ids, which of its texts are held out, their lengths, words, and the number of each token."""
+
+    def row(seq: int, ids: list[pa.Array], held: list[np.ndarray], toks: list[np.ndarray], lengths: list[np.ndarray]) -> pa.RecordBatch:
+        tok = np.concatenate(toks)
+        sizes = np.concatenate(lengths)
+        sink = pa.BufferOutputStream()
+        table = pa.table([pa.chunked_array(ids)], names=["id"])
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_table(table)
+        words, _, back = distinct(tok)
+        order = np.argsort(-np.bincount(back, minlength=len(words)), kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        x = [sink.getvalue().to_pybytes(), np.packbits(np.concatenate(held)).tobytes(), packed(sizes), packed(words[order]), packed(rank[back])]
+        return _rows(chunk=[(TaskContext.get().partitionId() << 32) + seq], x=[x])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, n = None, {}, 0
+        parts, n, seq = ([], [], [], []), 0, 0
         for batch in batches:
-            parts, chunks, helds = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("part", "chunk", "held"))
-            texts = texts_of(batch)
-            for p in dict.fromkeys(parts.tolist()):
-                if p != part or n > HELD:  # the next part of the input: no chunk of the last one goes on
-                    for c, x in held.items():
-                        yield from messages(c, x)
-                    part, held, n = p, {}, 0
-                for c in np.unique(chunks[parts == p]).tolist():
-                    rows = np.flatnonzero((parts == p) & (chunks == c))
-                    for tok, doc in hashed([texts[r] for r in rows]):
-                        held.setdefault(c, []).append((tok, ~helds[rows][doc].astype(bool)))
-                        n += len(tok)
-        for c, x in held.items():
-            yield from messages(c, x)
-
-    asked = docs.select("part", "chunk", "held", "text").mapInArrow(run, "bucket int, chunk long, words binary, n_words binary, keys binary, n_keys binary")
-    return asked.repartition(shuffle_parts(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-
-
-def _answered(requests: DataFrame, tree: Tree, least: int) -> DataFrame:
-    """Rows of kind 0: for a chunk the totals of its words and followers; of kind 1: a task's sums by context;
-    of kind 2: totals of common words after contexts."""
-    size = len(tree.one) + len(tree.two)
-
-    def join(rows: list[dict], name: str, kind) -> np.ndarray:
-        return np.frombuffer(b"".join(r[name] for r in rows), kind)
-
-    def reply(rows: list[dict], sums: np.ndarray, seen: list[int]) -> Iterator[pa.RecordBatch]:
-        sides = []
-        for name, cut in (("words", 1), ("keys", least)):
-            keys, counts = join(rows, name, np.uint64), join(rows, f"n_{name}", np.int32).astype(np.int64)
-            known, back = np.unique(keys, return_inverse=True)
-            total = np.bincount(back, counts, len(known)).astype(np.int64)
-            ends = np.cumsum([0, *(len(r[name]) // 8 for r in rows)])
-            sides.append((keys, total[back], total[back] >= cut, ends))
-            if name == "words":
-                seen[0] += int(total.sum())
-                seen[1] += int((total > 0).sum())
-            else:
-                context = (known >> np.uint64(_LOW + 1)).astype(np.int64)
-                many = total >= least
-                sums[0] += np.bincount(context, total, size)
-                sums[1] += np.bincount(context[many], total[many], size)
-                sums[2] += np.bincount(context[many], minlength=size)
-                common = many & ((known & _HASHED) == 0)
-                yield row(2, 0, known[common], total[common])
-        for k, r in enumerate(rows):
+            ids, held = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "held"))
+            held = held.to_numpy(zero_copy_only=False).astype(bool)
+            for tok, doc in hashed(texts_of(batch)):
+                low, high = doc[0], doc[-1] + 1
+                for part, x in zip(parts, (ids.slice(low, high - low), held[low:high], tok, np.bincount(doc - low, minlength=high - low)), strict=True):
+                    part.append(x)
+                n += len(tok)
+                if n >= tokens:
+                    yield row(seq, *parts)
+                    parts, n, seq = ([], [], [], []), 0, seq + 1
+        if n:
+            yield row(seq, *parts)
+
+    return bucketed(docs.select("id", "held", "text").mapInArrow(run, "chunk long, x array<binary>"), "chunk", parts)
+
+
+@dataclass(frozen=True)
+class Model:
+    """Parameters, and what is known of all training tokens: their number, that of distinct ones, frequent states."""
+
+    depth: int
+    least: int
+    bar: float
+    strength: float
+    shift: int  # a bucket is a 64-bit hash's bits from here on
+    tokens: int = 0
+    words: int = 0
+    many: int = 0  # occurrences from which a context is dealt by follower
+    hot: dict[int, np.ndarray] | None = None
+
+
+class Chunk:
+    """A chunk's tokens with what the answers so far tell: cnt[k] is the count of the k + 1 tokens that end at each."""
+
+    def __init__(self, x: list[bytes], model: Model):
+        self.model = model
+        self.ids = pa.ipc.open_stream(x[0]).read_all().column(0)
+        sizes, self.words, seq = unpacked(x[2]).astype(np.int64), unpacked(x[3]), unpacked(x[4]).astype(np.int64)
+        self.held = _bits(x[1], len(sizes))
+        self.sizes, self.seq, self.tok = sizes, seq, self.words[seq]
+        self.train = np.repeat(~self.held, sizes).astype(np.float64)
+        self.at = np.arange(len(seq)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.end = int(np.flatnonzero(self.words == END)[0])
+        self.before = np.concatenate(([self.end], seq[:-1]))
+        self.grams = [self.tok]
+        self.cnt: list[np.ndarray] = []
+        self.states: list[np.ndarray] = []  # for each length of context: whether each token's is a state
+        self.order = np.argsort(self.words)
+        self.pairs, self.pair_first, self.pair_back = distinct(self.gram(1) >> _CUT)
+
+    def gram(self, k: int) -> np.ndarray:
+        """Hashes of the k + 1 tokens that end at each token."""
+        while len(self.grams) <= k:
+            last = np.concatenate((self.grams[-1][:1] if len(self.grams) > 1 else [END], self.grams[-1][:-1]))
+            self.grams.append(mix(mix(last + _M1) * _M2 + self.tok))
+        return self.grams[k]
+
+    def occurs(self, k: int) -> np.ndarray:
+        """How often the context of k words before each token occurs; 0 where the text has not as many."""
+        total = self.cnt[0][self.before_first()] if k == 1 else np.concatenate(([0], self.cnt[k - 1][:-1]))
+        return np.where(self.at >= k - 1, total, 0)
+
+    def before_first(self) -> np.ndarray:
+        """For each token an index of a token equal to the one before it; a text's end stands before its start."""
+        return np.concatenate(([len(self.tok) - 1], np.arange(len(self.tok) - 1)))
+
+    def first_request(self) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+        n_words = np.bincount(self.seq, self.train, len(self.words)).astype(np.int64)[self.order]
+        n_pairs = np.bincount(self.pair_back, self.train, len(self.pairs)).astype(np.int64)
+        return [(self.words[self.order], [n_words]), (self.pairs << _CUT, [n_pairs])]
+
+    def first_answer(self, rows: list[list[bytes]]) -> None:
+        total = np.empty(len(self.words), dtype=np.int64)
+        total[self.order] = _joined(rows, 0)
+        pairs = _joined(rows, 1)
+        own = np.concatenate([_bits(r[2], struct.unpack_from("<Q", r[1])[0]) for r in rows])
+        self.totals = total
+        self.cnt = [total[self.seq], pairs[self.pair_back]]
+        i = self.pair_first[own]
+        some = self.cnt[1][i] > 0
+        i = i[some]
+        self.gain = np.zeros(len(self.words), dtype=np.int64)
+        gain = gains(self.cnt[1][i], total[self.before[i]], self.cnt[0][i] / max(1, self.model.tokens), self.model.strength)
+        np.add.at(self.gain, self.before[i], gain)
+        self.context = self.order[total[self.order] >= self.model.least]
+
+    def asked(self, k: int) -> tuple:
+        """Which tokens' contexts of k words occur often enough, and their distinct ones with what follows."""
+        total = self.occurs(k)
+        at = np.flatnonzero(total >= self.model.least)
+        keys, first, back = distinct(self.gram(k)[at])
+        first = at[first]
+        n = np.bincount(back, self.train[at], len(keys)).astype(np.int64)
+        context = np.concatenate(([np.uint64(0)], self.gram(k - 1)[:-1]))[first] >> _CUT
+        hot = total[first] >= self.model.many
+        rare = np.flatnonzero(~hot)
+        rare = rare[np.argsort(context[rare], kind="stable")]
+        return at, keys, first, back, n, context, np.flatnonzero(hot), rare, total
+
+    def request(self, k: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+        """Hashes to deal by, and what is dealt: contexts of one word with gains (once), followers of k words."""
+        nothing = np.zeros(0, dtype=np.uint64)
+        out = [(nothing, [np.zeros(0, dtype=np.int64)])] * (k != 2) or [(self.words[self.context], [self.gain[self.context]])]
+        if k > self.model.depth:
+            return [*out, (nothing, [nothing] * 3), (nothing, [nothing] * 4)]
+        _, keys, first, _, n, context, hot, rare, total = self.asked(k)
+        of_suffix, suffix = self.cnt[k - 1][first], self.occurs(k - 1)[first]
+        log = np.where(n > 0, np.rint(np.log(np.maximum(of_suffix, 1) / np.maximum(suffix, 1)) * _FINE), 0).astype(np.int64)
+        follower = mix(self.tok[first]) & _FOLLOWER
+        return [*out, (context[rare] << _CUT, [follower[rare], n[rare], log[rare]]), (keys[hot], [context[hot], n[hot], log[hot], total[first[hot]]])]
+
+    def answer(self, k: int, rows: list[list[bytes]]) -> None:
+        if k == 2:
+            kept = np.zeros(len(self.words), dtype=bool)
+            kept[self.context] = np.concatenate([_bits(r[0], struct.unpack("<Q", r[1])[0]) for r in rows] or [np.zeros(0, dtype=bool)])
+            self.states.append(kept[self.before])
+        if k > self.model.depth:
+            return
+        at, keys, _, back, _, context, hot, rare, _ = self.asked(k)
+        total, kept = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        total[rare], total[hot] = _joined(rows, 2), _joined(rows, 4)
+        kept[rare] = np.concatenate([_bits(r[3], struct.unpack_from("<Q", r[2])[0]) for r in rows] or [np.zeros(0, dtype=bool)])
+        if self.model.hot and k in self.model.hot:
+            kept[hot] = np.isin(context[hot], self.model.hot[k])
+        cnt, state = np.zeros(len(self.tok), dtype=np.int64), np.zeros(len(self.tok), dtype=bool)
+        cnt[at], state[at] = total[back], kept[back]
+        self.cnt.append(cnt)
+        self.states.append(state)
+
+    def scores(self) -> pa.Table:
+        model, c = self.model, self.cnt[0]
+        p = (c + 1.0) / (model.tokens + model.words + 1.0)
+        base = np.log10(p)
+        for k, state in enumerate(self.states[: model.depth], 1):
+            on = np.flatnonzero(state)
+            p[on] = (self.cnt[k][on] + model.strength * p[on]) / (self.occurs(k)[on] + model.strength)
+        first = np.cumsum(self.sizes) - self.sizes
+        sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), base, np.log10(p))]
+        return pa.table([self.ids, pa.array(self.held), pa.array(self.sizes), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], names=NAMES)
+
+
+NAMES = ["id", "held", "n_tokens", "n_known", "base", "score"]
+
+
+def _joined(rows: list[list[bytes]], k: int) -> np.ndarray:
+    return np.concatenate([unpacked(r[k]).astype(np.int64) for r in rows] or [np.zeros(0, dtype=np.int64)])
+
+
+# --- requests and answers ---
+
+def _dealt(chunk: int, sides: list[tuple[np.ndarray, list[np.ndarray]]], shift: int) -> Iterator[tuple[int, list[bytes]]]:
+    """A chunk's request cut by bucket. A side's keys are in order; equal ones (a context's followers) stay together."""
+    buckets = 1 << (64 - shift)
+    edges = np.arange(1, buckets, dtype=np.uint64) << np.uint64(shift) if buckets > 1 else np.zeros(0, dtype=np.uint64)
+    cuts = [np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)])) for keys, _ in sides]
+    for b in range(buckets):
+        if any(cut[b] < cut[b + 1] for cut in cuts):
             out = []
-            for keys, total, good, ends in sides:
-                at = slice(ends[k], ends[k + 1])
-                out += [keys[at][good[at]], total[at][good[at]]]
-            yield row(0, r["chunk"], *out)
+            for (keys, values), cut in zip(sides, cuts, strict=True):
+                at = slice(cut[b], cut[b + 1])
+                out.append(_packed_sorted(keys[at]))
+                out += [_packed_signed(v[at]) if v.dtype == np.int64 else packed(v[at]) for v in values]
+            yield b, out
 
-    def row(kind: int, chunk: int, *data: np.ndarray) -> pa.RecordBatch:
-        data = [*data, *[np.zeros(0)] * (4 - len(data))]
-        return pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "chunk": pa.array([chunk], pa.int64())} | {f"x{k}": pa.array([x.tobytes()], pa.binary()) for k, x in enumerate(data)})
+
+def _by_bucket(requests: DataFrame) -> DataFrame:
+    return requests.repartition(shuffle_parts(requests.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
+def _answered(requests: DataFrame, level: int, reply, done=None) -> DataFrame:
+    """Apply reply(rows of a bucket) -> (answers to each row, a further row's data or None), and done() at a task's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, seen, rows = np.zeros((3, size)), [0, 0], []
+        bucket, rows = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            answers, more = reply([r for _, r in rows])
+            for (chunk, _), x in zip(rows, answers, strict=True):
+                yield _rows(level=[level], bucket=[bucket], chunk=[chunk], x=[x])
+            if more is not None:
+                yield _rows(level=[-level], bucket=[bucket], chunk=[0], x=[more])
+
         for batch in batches:
-            for r in batch.to_pylist():
-                if rows and rows[0]["bucket"] != r["bucket"]:
-                    yield from reply(rows, sums, seen)
+            buckets, chunks, data = (batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "chunk", "x"))
+            for i, b in enumerate(buckets.to_pylist()):
+                if b != bucket and rows:
+                    yield from flush()
                     rows = []
-                rows.append(r)
+                bucket = b
+                rows.append((chunks[i].as_py(), data[i].as_py()))
         if rows:
-            yield from reply(rows, sums, seen)
-        at = np.flatnonzero(sums[0])
-        yield row(1, 0, at, sums[:, at].ravel().astype(np.int64), np.array(seen, dtype=np.int64))
+            yield from flush()
+
+    return written(_by_bucket(requests).mapInArrow(run, "level int, bucket int, chunk long, x array<binary>"), "answers")
+
+
+def _first_reply(rows: list[list[bytes]]) -> tuple[list[list[bytes]], list[bytes]]:
+    """Totals of words and pairs; each pair is named once as the own one of a chunk. Further: tokens, distinct words."""
+    sides = []
+    for k in (0, 2):
+        keys = [_unpacked_sorted(r[k]) for r in rows]
+        counts = np.concatenate([_unpacked_signed(r[k + 1]) for r in rows])
+        known, first, back = distinct(np.concatenate(keys))
+        total = np.bincount(back, counts, len(known)).astype(np.int64)
+        own = np.zeros(len(back), dtype=bool)
+        own[first] = True
+        sides.append((total, total[back], own, np.cumsum([0, *map(len, keys)])))
+    (words, w, _, we), (_, p, own, pe) = sides
+    out = [[packed(w[we[k] : we[k + 1]]), packed(p[pe[k] : pe[k + 1]]), np.packbits(own[pe[k] : pe[k + 1]]).tobytes()] for k in range(len(rows))]
+    return out, [struct.pack("<QQ", int(words.sum()), int((words > 0).sum()))]
+
+
+def _reply(model: Model):
+    """Totals of followers and whether their contexts are states; further: what frequent contexts gain here."""
+
+    def joined(rows: list[list[bytes]], k: int, read=unpacked) -> np.ndarray:
+        return np.concatenate([read(r[k]) for r in rows])
+
+    def reply(rows: list[list[bytes]]) -> tuple[list[list[bytes]], list[bytes] | None]:
+        ends = [np.cumsum([0, *(struct.unpack_from("<Q", r[k])[0] for r in rows)]) for k in (0, 2, 6)]
+        known, _, back = distinct(joined(rows, 0, _unpacked_sorted))
+        gain = np.zeros(len(known), dtype=np.int64)
+        np.add.at(gain, back, joined(rows, 1, _unpacked_signed))
+        one = (gain >= model.bar * _FIXED)[back]
+        # contexts whose followers are all here
+        contexts, _, context = distinct(joined(rows, 2, _unpacked_sorted))
+        pair, first, back = distinct((context.astype(np.uint64) << np.uint64(32)) | joined(rows, 3))
+        total = np.bincount(back, joined(rows, 4, _unpacked_signed), len(pair)).astype(np.int64)
+        log = np.zeros(len(pair), dtype=np.int64)
+        np.minimum.at(log, back, joined(rows, 5, _unpacked_signed))  # 0 where a chunk has the pair in held-out texts alone
+        of = context[first]
+        occurs = np.bincount(of, total, len(contexts))
+        some = total > 0
+        gain = np.zeros(len(contexts), dtype=np.int64)
+        np.add.at(gain, of[some], gains(total[some], occurs[of[some]], np.exp(log[some] / _FINE), model.strength))
+        state, rare = (gain >= model.bar * _FIXED)[context], total[back]
+        # frequent contexts: some of their followers
+        pair, first, back = distinct(joined(rows, 6, _unpacked_sorted))
+        total = np.bincount(back, joined(rows, 8, _unpacked_signed), len(pair)).astype(np.int64)
+        log = np.zeros(len(pair), dtype=np.int64)
+        np.minimum.at(log, back, joined(rows, 9, _unpacked_signed))
+        some = total > 0
+        of, _, owner = distinct(joined(rows, 7)[first][some])
+        gain = np.zeros(len(of), dtype=np.int64)
+        np.add.at(gain, owner, gains(total[some], joined(rows, 10, _unpacked_signed)[first][some], np.exp(log[some] / _FINE), model.strength))
+        out, hot = [], total[back]
+        for k in range(len(rows)):
+            a, b, c = (slice(e[k], e[k + 1]) for e in ends)
+            out.append([np.packbits(one[a]).tobytes(), struct.pack("<Q", ends[0][k + 1] - ends[0][k]), packed(rare[b]), np.packbits(state[b]).tobytes(), packed(hot[c])])
+        return out, [packed(of), _packed_signed(gain)] if len(of) else None
+
+    return reply
+
+
+def _hot_states(answers: DataFrame, level: int, bar: float) -> np.ndarray:
+    """The states among contexts that were dealt by follower; at most 1 / HOT_SHARE contexts are."""
 
-    return requests.mapInArrow(run, "kind int, chunk long, x0 binary, x1 binary, x2 binary, x3 binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"k": unpacked(x[0]).astype(np.int64), "gain": _unpacked_signed(x[1])})
 
+    sums = answers.where(F.col("level") == -level).select("x").mapInArrow(run, "k long, gain long").groupBy("k").agg(F.sum("gain").alias("gain"))
+    return np.sort(sums.where(F.col("gain") >= F.lit(bar * _FIXED)).select("k").toArrow().column("k").to_numpy().view(np.uint64))
 
-def _tested(tree: Tree, answers: DataFrame) -> Tree:
-    """Fill in the totals, and keep the contexts whose followers diverge from their suffix's."""
-    size, common = len(tree.one) + len(tree.two), len(tree.common)
 
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                at, n = np.frombuffer(r["x0"], np.int64), np.frombuffer(r["x1"], np.int64)
-                tokens, words = np.frombuffer(r["x2"], np.int64).tolist()
-                n = n.reshape(3, -1)
-                yield pa.RecordBatch.from_pydict({"k": np.concatenate((at, [-1])).astype(np.int64), "a": np.concatenate((n[0], [tokens])), "b": np.concatenate((n[1], [words])), "c": np.concatenate((n[2], [0]))})
-
-    sums = answers.where("kind = 1").mapInArrow(unpacked, "k long, a long, b long, c long").groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c")).toArrow()
-    k, a, b, c = (sums.column(x).to_numpy() for x in "kabc")
-    tree.tokens, tree.words = int(a[k < 0].sum()), int(b[k < 0].sum())
-    total, many, kinds = np.zeros(size), np.zeros(size), np.zeros(size)
-    total[k[k >= 0]], many[k[k >= 0]], kinds[k[k >= 0]] = a[k >= 0], b[k >= 0], c[k >= 0]
-    table = np.zeros((size + 1, common + 1))
-    for r in answers.where("kind = 2").select("x0", "x1").toLocalIterator():
-        keys = np.frombuffer(r["x0"], np.uint64)
-        table[(keys >> np.uint64(_LOW + 1)).astype(np.int64), (keys & _FOLLOWER).astype(np.int64)] = np.frombuffer(r["x1"], np.int64)
-    table[:size, common] = np.maximum(0, total - table[:size, :common].sum(1))
-    # of all tokens: every token follows exactly one context of one word, most of them candidates
-    table[size] = table[: len(tree.one)].sum(0) + 0.5
-    tree.kept, tree.total, tree.left = np.zeros(size, dtype=bool), total, total - many + DISCOUNT * kinds
-    parent = np.concatenate((np.full(len(tree.one), -1), tree.suffix)).astype(np.int64)
-    bar = common + DEVIATIONS * np.sqrt(2.0 * max(1, common))
-    for n in range(size):
-        up = parent[n] if parent[n] >= 0 and tree.kept[parent[n]] else size
-        above = (table[up] + 0.5) / (table[up] + 0.5).sum()
-        own = table[n]
-        some = own > 0
-        gain = 2 * float((own[some] * np.log(own[some] / max(1.0, total[n]) / above[some])).sum())
-        tree.kept[n] = total[n] > 0 and gain > bar and gain / (2 * total[n]) >= LEAST_GAIN
-    return tree
-
-
-def _scored(docs: DataFrame, answers: DataFrame, tree: Tree) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    kind = docs.schema["id"].dataType
-    names = ["id", "held", "n_tokens", "n_known", "base", "score"]
+def _with_answers(chunks: DataFrame, answers: list[DataFrame], model: Model, act, schema: str) -> DataFrame:
+    """Apply act(chunk number, Chunk that knows the answers) -> table to each chunk."""
+    shared = chunks.sparkSession.sparkContext.broadcast(model)  # at most 1 / HOT_SHARE numbers for each length
+    levels = len(answers)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        tree = shared.value
-        packed = lambda name, kind: np.frombuffer(b"".join(right.column(name).to_pylist()), kind)
-        words, n_words = _summed_once(packed("x0", np.uint64), packed("x1", np.int64))
-        keys, n_keys = _summed_once(packed("x2", np.uint64), packed("x3", np.int64))
-        size = left.num_rows
-        out = {c: np.zeros(size) for c in names[2:]}
-        for tok, doc in hashed(left.column("text").to_pylist()):
-            low, width = doc[0], doc[-1] - doc[0] + 1
-            c = _count(words, n_words, tok)
-            p = (c + 1.0) / (tree.tokens + tree.words + 1.0)
-            base = np.log10(p)
-            for number in tree.numbers(tok):
-                on = np.flatnonzero(number >= 0)
-                on = on[tree.kept[number[on]]]
-                k = number[on]
-                n = _count(keys, n_keys, tree.follower(k, tok[on]))
-                p[on] = (np.where(n > 0, n - DISCOUNT, 0.0) + tree.left[k] * p[on]) / tree.total[k]
-            for name, x in (("n_tokens", np.ones(len(tok))), ("n_known", c > 0), ("base", base), ("score", np.log10(p))):
-                out[name][low : low + width] += np.bincount(doc - low, x, width)
-        return pa.table([left.column("id"), left.column("held"), *(pa.array(out[c]).cast(pa.int64() if c[0] == "n" else pa.float64()) for c in names[2:])], names=names)
-
-    schema = f"id {kind.simpleString()}, held boolean, n_tokens long, n_known long, base double, score double"
-    left = docs.select("chunk", "id", "held", "text").groupBy("chunk")
-    return left.cogroup(answers.where("kind = 0").select("chunk", "x0", "x1", "x2", "x3").groupBy("chunk")).applyInArrow(run, schema)
-
-
-def _summed_once(keys: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and their totals; a key that was answered twice has the same total both times."""
-    order = np.argsort(keys, kind="stable")
-    return keys[order], totals[order]
-
-
-def _count(keys: np.ndarray, totals: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = find(keys, wanted)
-    return np.where(at >= 0, totals[at], 0) if len(keys) else np.zeros(len(wanted), dtype=np.int64)
-
-
-def chunked(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFrame:
-    """Columns id, text, held, part (of the input) and chunk.
-
-    Any chunk would be right, as long as a document has the same one in each scan; those of one part of a file
-    are together, so that a chunk's distinct words are sent once.
-    """
-    conf = docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")
-    sizes = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    digits = conf.lower().rstrip("b") or "0"
-    bytes_ = int(digits[:-1]) * sizes[digits[-1]] if digits[-1] in sizes else int(digits)
-    split = max(1, -(-bytes_ // CHUNK_BYTES))
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    part = F.xxhash64(F.input_file_name(), F.input_file_block_start())
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held"), part.alias("part"), (F.input_file_name() == "").alias("__none"), key.alias("__key"))
-    of_file = F.xxhash64("part", F.pmod("__key", F.lit(split)))
-    return rows.select("id", "text", "held", "part", F.when(F.col("__none"), F.pmod("__key", F.lit(64))).otherwise(of_file).alias("chunk"))
-
-
-def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", p_min: float = P_MIN, p_common: float = P_COMMON, least: int = LEAST) -> DataFrame:
+        chunk = Chunk(left.column("x")[0].as_py(), shared.value)
+        order = np.lexsort((right.column("bucket").to_numpy(), right.column("level").to_numpy()))
+        rows: dict[int, list[list[bytes]]] = {}
+        for i in order.tolist():
+            rows.setdefault(right.column("level")[i].as_py(), []).append(right.column("x")[i].as_py())
+        for level in range(1, levels + 1):
+            own = rows.get(level, [])
+            chunk.first_answer(own) if level == 1 else chunk.answer(level, own)
+        return act(left.column("chunk")[0].as_py(), chunk)
+
+    right = answers[0]
+    for more in answers[1:]:
+        right = right.unionByName(more)
+    return chunks.groupBy("chunk").cogroup(right.where("level > 0").groupBy("chunk")).applyInArrow(run, schema)
+
+
+REQUEST = "bucket int, chunk long, x array<binary>"
+
+
+def _first_requests(chunks: DataFrame, model: Model) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number = batch.column(0)[i].as_py()
+                for b, x in _dealt(number, Chunk(batch.column(1)[i].as_py(), model).first_request(), model.shift):
+                    yield _rows(bucket=[b], chunk=[number], x=[x])
+
+    return chunks.select("chunk", "x").mapInArrow(run, REQUEST)
+
+
+def _requests(chunks: DataFrame, answers: list[DataFrame], model: Model, level: int) -> DataFrame:
+    def act(number: int, chunk: Chunk) -> pa.Table:
+        found = list(_dealt(number, chunk.request(level), model.shift))
+        return pa.Table.from_batches([_rows(bucket=[b for b, _ in found], chunk=[number] * len(found), x=[x for _, x in found])])
+
+    return _with_answers(chunks, answers, model, act, REQUEST)
+
+
+def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, bar: float = BAR, strength: float = STRENGTH) -> DataFrame:
     """Rows (id, held, n_tokens, n_known, train_tokens, base, score), log10 of the whole texts' probabilities.
 
     Learns from the texts where `held` is false. base: unigrams with one added; score: the suffix tree. A null or
-    empty text is its end alone. Without training texts all probabilities are 1. Repeated rows count and stay.
+    empty text is its end alone. Without training texts all probabilities are 1. Repeated rows count and stay, null ids
+    too. Counts of words are exact; pairs and longer sequences are told by 56-bit hashes.
     """
-    rows = chunked(docs, id_col, text_col, held)
-    tree = _candidates(rows, p_min, p_common)
-    buckets = 1 << (BUCKETS_PER_PARTITION * shuffle_parts(docs.sparkSession) - 1).bit_length()
-    answers = written(_answered(_requests(rows, tree, buckets), tree, least), "answers")
-    tree = _tested(tree, answers)
-    found = _scored(rows, answers, tree)
-    return found.select("id", "held", "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base", "score")
+    spark = docs.sparkSession
+    parts = shuffle_parts(spark)
+    buckets = 1 << (BUCKETS_PER_PARTITION * parts - 1).bit_length()
+    model = Model(max(1, depth), max(2, least), bar, strength, 64 - (buckets - 1).bit_length())
+    chunks = _chunks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held")), parts, CHUNK)
+    answers = [_answered(_first_requests(chunks, model), 1, _first_reply)]
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [struct.unpack("<QQ", x[0]) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"a": pa.array([s[0] for s in sums], pa.int64()), "b": pa.array([s[1] for s in sums], pa.int64())})
+
+    tokens, words = answers[0].where("level = -1").select("x").mapInArrow(seen, "a long, b long").agg(F.sum("a"), F.sum("b")).first()
+    model = Model(**vars(model) | {"tokens": tokens or 0, "words": words or 0, "many": max(HOT, int(HOT_SHARE * (tokens or 0))), "hot": {}})
+    for level in range(2, max(2, model.depth) + 1):
+        answers.append(_answered(_requests(chunks, answers, model, level), level, _reply(model)))
+        model = Model(**vars(model) | {"hot": model.hot | {level: _hot_states(answers[-1], level, bar)}})
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = _with_answers(chunks, answers, model, lambda number, chunk: chunk.scores(), f"id {kind}, held boolean, n_tokens long, n_known long, base double, score double")
+    return found.select("id", "held", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base", "score")

@@ -78,7 +78,7 @@ def test_tree_probabilities_sum_to_one(spark):
     histories = ["", "a", "d e", "f g", "b f"]
     probes = [(n, f"{h} {w}".strip()) for n, (h, w) in enumerate((h, w) for h in histories for w in [*words, "unseen"])] + [(10_000 + k, h) for k, h in enumerate(histories)]
     df = spark.createDataFrame([(-1, text)] + probes, "doc_id long, text string")
-    got = {r["id"]: r["score"] for r in pst.score_texts(df, F.col("doc_id") >= 0, p_min=1e-3, p_common=1e-3).collect()}
+    got = {r["id"]: r["score"] for r in pst.score_texts(df, F.col("doc_id") >= 0).collect()}
     size = len(words) + 1
     for k, h in enumerate(histories):
         # P(text) = P(history) P(word | history) P(end | ...); dividing two texts' ends needs the end's own probability,
