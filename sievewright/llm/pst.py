@@ -45,7 +45,7 @@ BAR = 1.0
 #: Occurrences that the shorter context's probability counts as.
 STRENGTH = 16.0
 #: Tokens of a chunk (a longer text is a chunk of its own); bytes hashed at once.
-CHUNK, BLOCK = 3_000_000, 1 << 18
+CHUNK, BLOCK = 1_500_000, 1 << 18
 #: A context with more occurrences, and more than this share of all tokens, is dealt over the buckets by follower.
 HOT, HOT_SHARE = 1 << 16, 1e-6
 BUCKETS_PER_PARTITION = 8
@@ -200,8 +200,8 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = keys[order]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = keys[1:] != keys[:-1]
-    back = np.empty(len(keys), dtype=np.int64)
-    back[order] = np.cumsum(new) - 1
+    back = np.empty(len(keys), dtype=np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
     return keys[new], order[new], back
 
 
@@ -276,13 +276,12 @@ class Chunk:
     def __init__(self, x: list[bytes], model: Model):
         self.model = model
         self.ids = pa.ipc.open_stream(x[0]).read_all().column(0)
-        sizes, self.words, seq = unpacked(x[2]).astype(np.int64), unpacked(x[3]), unpacked(x[4]).astype(np.int64)
+        sizes, self.words, seq = unpacked(x[2]).astype(np.int64), unpacked(x[3]), unpacked(x[4]).astype(np.int32)
         self.held = _bits(x[1], len(sizes))
         self.sizes, self.seq, self.tok = sizes, seq, self.words[seq]
-        self.train = np.repeat(~self.held, sizes).astype(np.float64)
-        self.at = np.arange(len(seq)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.end = int(np.flatnonzero(self.words == END)[0])
-        self.before = np.concatenate(([self.end], seq[:-1]))
+        self.train = np.repeat(~self.held, sizes)
+        self.at = (np.arange(len(seq)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        self.before = np.concatenate((seq[-1:], seq[:-1]))  # a text's end stands before a text's start
         self.grams = [self.tok]
         self.cnt: list[np.ndarray] = []
         self.states: list[np.ndarray] = []  # for each length of context: whether each token's is a state
@@ -298,16 +297,13 @@ class Chunk:
 
     def occurs(self, k: int) -> np.ndarray:
         """How often the context of k words before each token occurs; 0 where the text has not as many."""
-        total = self.cnt[0][self.before_first()] if k == 1 else np.concatenate(([0], self.cnt[k - 1][:-1]))
-        return np.where(self.at >= k - 1, total, 0)
-
-    def before_first(self) -> np.ndarray:
-        """For each token an index of a token equal to the one before it; a text's end stands before its start."""
-        return np.concatenate(([len(self.tok) - 1], np.arange(len(self.tok) - 1)))
+        total = np.concatenate((self.cnt[k - 1][-1:], self.cnt[k - 1][:-1]))
+        total[self.at < k - 1] = 0
+        return total
 
     def first_request(self) -> list[tuple[np.ndarray, list[np.ndarray]]]:
-        n_words = np.bincount(self.seq, self.train, len(self.words)).astype(np.int64)[self.order]
-        n_pairs = np.bincount(self.pair_back, self.train, len(self.pairs)).astype(np.int64)
+        n_words = np.bincount(self.seq[self.train], minlength=len(self.words))[self.order]
+        n_pairs = np.bincount(self.pair_back[self.train], minlength=len(self.pairs))
         return [(self.words[self.order], [n_words]), (self.pairs << _CUT, [n_pairs])]
 
     def first_answer(self, rows: list[list[bytes]]) -> None:
@@ -331,7 +327,7 @@ class Chunk:
         at = np.flatnonzero(total >= self.model.least)
         keys, first, back = distinct(self.gram(k)[at])
         first = at[first]
-        n = np.bincount(back, self.train[at], len(keys)).astype(np.int64)
+        n = np.bincount(back[self.train[at]], minlength=len(keys))
         context = np.concatenate(([np.uint64(0)], self.gram(k - 1)[:-1]))[first] >> _CUT
         hot = total[first] >= self.model.many
         rare = np.flatnonzero(~hot)
