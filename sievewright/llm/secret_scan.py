@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import random
 import re
 from collections.abc import Iterator
 
@@ -31,10 +33,20 @@ JOIN = re.compile(r"[^A-Za-z0-9+/_=-]{1,40}(?:\+[^A-Za-z0-9+/_=-]{1,40})?")
 PEM_TAIL = re.compile(r"[^A-Za-z0-9+/_=-]{1,40}([A-Za-z0-9+/=]{1,15})(?=[^A-Za-z0-9+/_=-]{1,40}-----END)")
 #: Characters between a candidate and a sensitive word before or after it, and around it that compression may draw on.
 CONTEXT, SURROUNDING = 40, 512
-#: Marginal compressed bytes per character from which a candidate is reported: random strings have 0.93 to 1.5, new words 0.4 to 0.9.
-NOVELTY = 0.92
-#: The same for further parts of a reported string: what the six random bits of a base64 character take.
-CARRIED = 0.75
+#: Share of a random string's marginal compressed bytes from which a candidate is reported; the same for further parts of
+#: a reported string; and for strings of letters of one case alone, since words of any language come near random ones.
+NOVELTY, CARRIED, LETTERS = 0.85, 0.8, 1.06
+#: Random strings of a candidate's length and alphabet that it is held against.
+REFERENCES = 3
+
+#: Stands before a candidate whose surroundings are short, so that letters have the frequencies of ordinary text.
+PLAIN = (
+    "When the weather turned we walked along the river, past the old mill and the market where farmers sell bread, apples and "
+    "cheese. Most people here know each other by name; children play until late, and somebody always has a story about the great "
+    "flood. Le soir, les voisins se parlent devant leurs maisons et regardent passer les bateaux. Am Morgen ist es still, nur die "
+    "Hunde bellen. Nothing much happens, yet every year brings a few guests who ask for directions, buy a map, and stay longer than "
+    "they had planned.\n"
+)
 
 #: What code and configuration are full of; it primes the compressor, so that such strings cost few bytes.
 IDENTIFIERS = " ".join(
@@ -67,6 +79,8 @@ IDENTIFIERS = " ".join(
     0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ""".split()
 ).encode()
 
+_LOWER, _UPPER, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+
 Span = tuple[str, int, int]
 
 
@@ -76,20 +90,46 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Novelty:
-    """Marginal compressed bytes of strings, given what stands around them and an identifier dictionary."""
+    """Marginal compressed bytes of strings, given what stands around them and an identifier dictionary, against random ones."""
 
     def __init__(self, identifiers: bytes = IDENTIFIERS) -> None:
         primer = zstandard.ZstdCompressionDict(identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.pack = zstandard.ZstdCompressor(level=19, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def bytes_per_character(self, candidate: str, before: str, after: str) -> float:
-        """Compressed size of the surroundings with the candidate less that without it, over its length.
+    def _size(self, text: str) -> int:
+        return len(self.pack.compress(text.encode("utf-8", "replace")))
+
+    def ratio(self, candidate: str, before: str, after: str) -> float:
+        """Marginal compressed bytes of the candidate over those of random strings of its length and alphabet there.
 
-        What the dictionary or the surroundings hold costs next to nothing; a new word costs what its letters
-        cost in such text; a random string costs more than that, since its characters follow no such frequencies.
+        Marginal bytes are the compressed size of the surroundings with a string less that without it. What the
+        dictionary or the surroundings hold costs next to nothing; a new word costs what its letters cost in such
+        text; a random string costs what any of its alphabet does. Capitals alone are measured as small letters.
         """
-        size = lambda x: len(self.pack.compress(x.encode("utf-8", "replace")))
-        return max(0, size(before + candidate + after) - size(before + after)) / len(candidate)
+        if candidate == candidate.upper():
+            candidate = candidate.lower()
+        if len(before) + len(after) < SURROUNDING:
+            before = PLAIN + before
+        least = self._size(before + after)
+        others = [self._size(before + x + after) - least for x in references(candidate)]
+        return max(0, self._size(before + candidate + after) - least) * len(others) / max(1, sum(others))
+
+
+def references(candidate: str, n: int = REFERENCES) -> list[str]:
+    """Random strings, the same ones for candidates of one length and alphabet."""
+    kinds = [any(c in kind for c in candidate) for kind in (_LOWER, _UPPER, _DIGITS)]
+    alphabet = "".join(kind for kind, there in zip((_LOWER, _UPPER, _DIGITS), kinds, strict=True) if there)
+    if kinds == [True, False, True] and all(c in _HEX for c in candidate):
+        alphabet = _HEX
+    rng = random.Random(f"{len(candidate)} {alphabet}")
+    return ["".join(rng.choices(alphabet or "+/_=-", k=len(candidate))) for _ in range(n)]
+
+
+def bar_of(candidate: str, least: float = NOVELTY) -> float:
+    """What ratio a candidate needs: letters of one case alone need more."""
+    letters = [c for c in candidate if c.isalpha()]
+    one_case = not any(c.isdigit() for c in candidate) and (candidate == candidate.lower() or candidate == candidate.upper())
+    return max(least, LETTERS) if letters and one_case else least
 
 
 def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
@@ -131,19 +171,31 @@ def _near(text: str, at: int, end: int, place: int | None = None) -> list[tuple[
 
 
 def novel_spans(text: str, known: list[Span], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, float]]:
-    """Candidates in a sensitive context, apart from known spans, whose novelty is `least` or more.
+    """Candidates in a sensitive context, apart from known spans, whose novelty reaches their bar.
 
     Parts of one string are measured against what stands around all of them, since random lines beside it would
     make a random line look ordinary; beside a reported part CARRIED is enough. A shorter last line of a PEM block goes with a reported line before it.
     """
     found = []
+    covered: list[tuple[int, int]] = []  # the known spans as disjoint ones, in order
+    for _, a, b in sorted(known, key=lambda k: k[1:]):
+        if covered and a <= covered[-1][1]:
+            covered[-1] = (covered[-1][0], max(b, covered[-1][1]))
+        else:
+            covered.append((a, b))
+    starts = [a for a, _ in covered]
+
+    def free(a: int, b: int) -> bool:
+        k = bisect.bisect_left(starts, b) - 1
+        return k < 0 or covered[k][1] <= a
+
     for run in _runs(text):
         before, after = text[max(0, run[0][0] - SURROUNDING) : run[0][0]], text[run[-1][1] : run[-1][1] + SURROUNDING]
-        free = [(a, b) for a, b in run if not any(s < b and a < e for _, s, e in known)]
-        values = [novelty.bytes_per_character(text[a:b], before, after) for a, b in free]
-        bar = min(least, CARRIED) if max(values, default=0) >= least else least
-        for (a, b), value in zip(free, values, strict=True):
-            if value >= bar:
+        parts = [(a, b) for a, b in run if free(a, b)]
+        values = [novelty.ratio(text[a:b], before, after) for a, b in parts]
+        sure = any(v >= bar_of(text[a:b], least) for (a, b), v in zip(parts, values, strict=True))
+        for (a, b), value in zip(parts, values, strict=True):
+            if value >= (min(least, CARRIED) if sure else bar_of(text[a:b], least)):
                 found.append((a, b, value))
                 if (a, b) == run[-1] and (tail := PEM_TAIL.match(text, b)):
                     found.append((*tail.span(1), value))
@@ -151,7 +203,7 @@ def novel_spans(text: str, known: list[Span], novelty: Novelty, least: float = N
 
 
 def spans_of(text: str | None, novelty: Novelty, least: float = NOVELTY) -> list[tuple[str, int, int, float | None]]:
-    """All spans by start and then kind; novel ones with their compressed bytes per character."""
+    """All spans by start and then kind; novel ones with their novelty (see Novelty.ratio)."""
     if not text:
         return []
     base = base_spans(text)
