@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +86,27 @@ def py_fold(doc_id: object, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus
 
 
+#: Longer words stand for themselves by a digest in tables of words.
+WHOLE_WORD = 64
+
+
+def word_key(word: bytes) -> bytes:
+    """The word, or a digest of a long one, so that tables of words are bounded by their rows."""
+    return word if len(word) <= WHOLE_WORD else b"\0" + xxhash.xxh3_128_digest(word)
+
+
+def word_keys(words: list[bytes]) -> list[bytes]:
+    return words if not words or max(map(len, words)) <= WHOLE_WORD else [word_key(w) for w in words]
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(value: str | None) -> bytes:
     return value.encode("utf-8", "replace") if value else b""
 

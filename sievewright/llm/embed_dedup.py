@@ -103,13 +103,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     rotations; the estimate from the codes rejects a pair when its upper confidence bound stays below the
     threshold, and every other pair is computed exactly, so no link is false and each pair at the threshold is
     missed with a probability of about 1e-6. Rows that are not usable link with nothing and are their own
-    component. Ids that repeat with other vectors count as one node. A null id stays null.
+    component; rows with a null id link with nothing and have no component. An id that stands by several vectors has
+    a row for each, with that vector's links. Equal vectors are told by two 64-bit hashes.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
-    rows = rows.withColumn("key", F.when(usable("vec", "label"), F.col("vec")))
-    valid = rows.where("key is not null and id is not null")
-    nodes = written(valid.groupBy("label", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
+    fine = F.col("id").isNotNull() & usable("vec", "label")
+    hashes = {f"h{k}": F.xxhash64(F.lit(k), F.col("vec")) for k in (1, 2)}
+    valid = rows.where(fine).withColumns(hashes)
+    nodes = valid.groupBy("label", "h1", "h2").agg(F.first("vec").alias("key"), F.min("id").alias("first_id"), F.count("*").alias("copies"))
+    nodes = written(nodes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     largest = nodes.groupBy("label", F.size("key").alias("dim")).agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
     plans = {r["dim"]: tables_for(threshold, r["n"]) for r in largest}
 
@@ -151,14 +153,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     found = written(found, "links")
     counts = found.groupBy("rep").agg(F.sum("n").alias("others"))
     roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    of_rep = nodes.select("rep", "label", "key", "copies").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    of_rep = of_rep.select("label", "key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    joined = rows.join(of_rep, ["label", "key"], "left")
-    own = F.col("id").isNotNull()
-    return joined.select(
-        "id", F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(own, F.coalesce("component_id", "id")).alias("component_id"),
-    )
+    of_rep = nodes.select("rep", "label", "h1", "h2", "first_id", "copies").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    smallest = of_rep.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_rep = of_rep.join(smallest, "root").select("label", "h1", "h2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"), "component_id")
+    linked = valid.select("id", "label", "h1", "h2").join(of_rep, ["label", "h1", "h2"]).select("id", "n_links", "component_id")
+    return linked.unionByName(rows.where(~fine).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
 
 
 def _linked(codes: Codes, table: pa.Table, group: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:

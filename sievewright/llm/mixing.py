@@ -8,10 +8,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import blank_words, texts_of, written
+from .common import blank_words, texts_of, word_keys, written
 
 #: Labelled documents the classifier is fitted on at most, in the order of a hash of their ids.
 FIT_ROWS = 10_000
@@ -41,7 +42,7 @@ class DomainModel:
 
     def evidence(self, text: str | None) -> tuple[int, np.ndarray]:
         """The words of the text, and the mean log-likelihood by domain of those that are known."""
-        words = blank_words(text)
+        words = word_keys(blank_words(text))
         ids = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         known = ids[ids >= 0]
         return len(words), self.log_word[known].sum(0) / max(1, len(known)) * np.sqrt(len(known))
@@ -73,7 +74,8 @@ def fitted(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, words
     key = F.xxhash64(F.col("id").cast("string"), F.lit(19))
     known = labelled.where("id is not null and domain is not null").groupBy("id").agg(F.min("domain").alias("domain"))
     known = known.withColumn("key", key).orderBy("key", "id").limit(fit_rows)
-    sample = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), "id").select("text", "domain", F.pmod("key", F.lit(2)).alias("side"))
+    sample = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("domain").alias("domain"), F.first("key").alias("key"))
+    sample = sample.select("text", "domain", F.pmod("key", F.lit(2)).alias("side"))  # a repeated id counts once
     sample = written(sample, "domain-sample")
     totals = sorted((r["domain"], r["n"]) for r in sample.where("side = 0").groupBy("domain").agg(F.count("*").alias("n")).collect())
     if not totals:
@@ -87,19 +89,21 @@ def fitted(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, words
         seen: dict[tuple[bytes, str], int] = {}
         for batch in batches:
             for text, domain in zip(texts_of(batch), batch.column(1).to_pylist(), strict=True):
-                for w in blank_words(text):
-                    if len(w) <= 64:  # longer ones are never among the most frequent
-                        seen[w, domain] = seen.get((w, domain), 0) + 1
+                for w in word_keys(blank_words(text)):
+                    seen[w, domain] = seen.get((w, domain), 0) + 1
                 if len(seen) > HELD_WORDS:
                     yield sums(seen)
                     seen = {}
         yield sums(seen)
 
     counts = sample.where("side = 0").mapInArrow(count, "word binary, domain string, n long")
-    by_word = counts.groupBy("word").pivot("domain", domains).agg(F.sum("n")).na.fill(0)
-    columns = [F.col(f"`{d}`") for d in domains]
-    top = by_word.withColumn("__n", sum(columns[1:], columns[0])).orderBy(F.desc("__n"), "word").limit(words).collect()
-    table = np.array([[r[d] for d in domains] for r in top], dtype=float).reshape(-1, len(domains))
+    by_word = counts.groupBy("word", "domain").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("domain", "n")).alias("by"))
+    top = by_word.orderBy(F.desc("n"), "word").limit(words).collect()
+    place = {d: k for k, d in enumerate(domains)}
+    table = np.zeros((len(top), len(domains)))
+    for k, r in enumerate(top):
+        for x in r["by"]:
+            table[k, place[x["domain"]]] = x["n"]
     model = DomainModel(domains, [bytes(r["word"]) for r in top], table, np.array([n for _, n in totals], dtype=float))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,12 +207,17 @@ def mixed(members: DataFrame, targets: np.ndarray, steps: int = STEPS, residual:
 
 
 def matched(members: DataFrame, targets: np.ndarray, passes: int = PASSES, residual: float = RESIDUAL) -> tuple[DataFrame, list[float]]:
+    """members with the rates that solve() finds, and the relative residual after each pass."""
+    return solve(members, targets, passes, residual)[:2]
+
+
+def solve(members: DataFrame, targets: np.ndarray, passes: int = PASSES, residual: float = RESIDUAL) -> tuple[DataFrame, list[float], np.ndarray]:
     """members with the rates >= 0 nearest to 1 whose expected tokens by domain match the targets.
 
     Such rates are max(0, 1 - a y) with one number y per domain, which minimises a convex function; semismooth Newton
     steps find it. A pass over the corpus sums, for several lengths of a step at once, that function, its slopes and
     its curvature by domain. RIDGE makes targets that can't be met end at their least squares. Also returns the
-    relative residual after each pass; the last one is that of the rates.
+    relative residual after each pass, the last one being that of the rates, and the slope that a rate follows from.
     """
     d = len(targets)
     total = float(max(targets.sum(), 1.0))
@@ -262,37 +271,77 @@ def matched(members: DataFrame, targets: np.ndarray, passes: int = PASSES, resid
         history.append(gap(now))
         if np.abs(now[1 : 1 + d] - goal - RIDGE * scale * y).max() <= 1e-9:  # no better rates
             break
-    final = y[None]
     kind = members.schema["id"].dataType.simpleString()
+    slope = y / total
 
     def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("rate", pa.array(_replayed(a_of(batch), final), pa.float64()))
+            p = np.asarray(batch.column("posterior").flatten(), dtype=float).reshape(-1, d)
+            yield batch.append_column("rate", pa.array(_rate(np.asarray(batch.column("n_tokens"), dtype=float), p, slope), pa.float64()))
 
     chosen = members.select("id", "n_tokens", "posterior")
-    return chosen.mapInArrow(rates, f"id {kind}, n_tokens long, posterior array<double>, rate double"), history
+    return chosen.mapInArrow(rates, f"id {kind}, n_tokens long, posterior array<double>, rate double"), history, slope
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", budget: float | None = None) -> DataFrame:
-    """One row per document: id, n_tokens, domain (the likeliest), posterior, rate, copies.
+def _rate(tokens: np.ndarray, posterior: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, 1.0 - tokens * (posterior @ slope))
 
-    `weights` are the domains' shares of the `budget` of tokens (default: equal shares of the corpus's tokens);
-    labelled domains without a weight get none. copies is the rate rounded up or down by a hash of the id, so that
-    its expectation is the rate. A null or empty text has no tokens, its memberships are the labelled shares, and
-    its rate stays 1. Targets that are not met to RESIDUAL are told by a warning. Repeated rows stay; rows of the same id and text get the same rate.
-    """
+
+def solved(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", budget: float | None = None) -> tuple[DomainModel, DataFrame, list[float], np.ndarray]:
+    """The classifier, members with their rates, the residual after each pass, and what a document's rate follows from."""
     model = fitted(docs, labelled)
     members = written(memberships(docs, model, id_col), "memberships")
     tokens = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
     share = {d: 1.0 for d in model.domains} if weights is None else weights
     raw = np.array([max(0.0, share.get(d, 0.0)) for d in model.domains])
     targets = raw / max(raw.sum(), 1e-30) * (tokens if budget is None else budget)
-    found, history = matched(members, targets)
+    found, history, slope = solve(members, targets)
     if history[-1] > RESIDUAL:
-        warnings.warn(f"mixing misses its targets by {history[-1]:.2g} of the largest after {len(history)} passes", stacklevel=2)
+        warnings.warn(f"mixing misses its targets by {history[-1]:.2g} of the largest after {len(history)} passes", stacklevel=3)
+    return model, found, history, slope
+
+
+def _copies(id_: Column) -> Column:
+    """The rate rounded up or down by a hash of the id, so that its expectation is the rate."""
+    draw = F.pmod(F.xxhash64(id_.cast("string"), F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
+
+
+def with_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", budget: float | None = None) -> DataFrame:
+    """The documents with their n_tokens, domain, rate and copies, as mix() gives them; columns of these names give way.
+
+    A document's rate follows from its own memberships and one number per domain, so nothing is joined: null and
+    repeated ids keep their rows.
+    """
+    model, _, _, slope = solved(docs, labelled, weights, id_col, budget)
+    shared = docs.sparkSession.sparkContext.broadcast((model, slope))  # bounded by WORDS and the domains
+    own = docs.drop("n_tokens", "domain", "rate", "copies")
+    at = own.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, slope = shared.value
+        for batch in batches:
+            found = [m.evidence(t) for t in batch.column(at).to_pylist()]
+            n = np.array([x for x, _ in found], dtype=np.int64)
+            p = m.posterior(np.array([e for _, e in found]).reshape(-1, len(m.log_prior)))
+            more = [pa.array(n), pa.array([m.domains[k] for k in p.argmax(1)], pa.string()), pa.array(_rate(n.astype(float), p, slope), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "n_tokens", "domain", "rate"])
+
+    kinds = T.StructType([*own.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("domain", T.StringType()), T.StructField("rate", T.DoubleType())])
+    return own.mapInArrow(run, kinds).withColumn("copies", _copies(F.col(id_col)))
+
+
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", budget: float | None = None) -> DataFrame:
+    """One row per document: id, n_tokens, domain (the likeliest), posterior, rate, copies.
+
+    `weights` are the domains' shares of the `budget` of tokens (default: equal shares of the corpus's tokens);
+    labelled domains without a weight get none. copies is the rate rounded up or down by a hash of the id, so that
+    its expectation is the rate. A null or empty text has no tokens, its memberships are the labelled shares, and
+    its rate stays 1. Targets that are not met to RESIDUAL are told by a warning. Repeated rows stay; rows of the same id and text get the same rate.
+    """
+    model, found, _, _ = solved(docs, labelled, weights, id_col, budget)
     names = F.array(*[F.lit(d) for d in model.domains])
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return found.select(
         "id", "n_tokens", F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1).alias("domain"), "posterior", "rate",
-        (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"),
+        _copies(F.col("id")).alias("copies"),
     )

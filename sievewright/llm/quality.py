@@ -163,7 +163,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", learn
     known = known.select("id").distinct().orderBy(order("id", 13), "id").limit(positive_rows)
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     some = texts.select("id").where("id is not null").distinct().orderBy(order("id", 14), "id").limit(unlabelled_rows)
-    positive, unlabelled = _featured(texts.join(F.broadcast(known), "id")), _featured(texts.join(F.broadcast(some), "id"))
+    once = lambda ids: texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"))  # noqa: E731 - a repeated id counts once
+    positive, unlabelled = _featured(once(known)), _featured(once(some))
     model = PUModel()
     if len(positive) > 1 and len(unlabelled) > 1:
         model.fit(positive, unlabelled, prior)

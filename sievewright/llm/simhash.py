@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocked, meeting, whole_groups
-from .common import arrays, blank_words, min_labels, pieces, texts_of, written
+from .common import arrays, blank_words, fresh, min_labels, pieces, texts_of, written
 from .graph import components
 
 BITS = 64
@@ -51,8 +51,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(x, shingle) for x in texts_of(batch, "text")], dtype=np.uint64).view(np.int64)
             yield arrays(id=batch.column(0), fp=pa.array(fps, pa.int64()))
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "id long, fp long")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return chosen.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def bit_blocks(n: int, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS) -> list[int]:
@@ -126,6 +126,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dista
 
     Rows that repeat an id are reduced to one row for it as well. Rows whose id is null are all kept.
     """
-    keep = simhash_components(docs, id_col, text_col, distance).where("id = component_id").select(F.col("id").alias("__keep")).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
+    name = fresh("kept_id", docs)
+    keep = simhash_components(docs, id_col, text_col, distance).where("id = component_id").select(F.col("id").alias(name)).distinct()
+    kept = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col(name), "left_semi")
     return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import texts_of, word_key
 
 #: Labelled documents the model is fitted on at most, in the order of a hash of their ids.
 FIT_ROWS = 12_000
@@ -35,9 +35,9 @@ def sentences(text: str | None) -> list[list[bytes]]:
 
 
 def features(word: bytes) -> list[bytes]:
-    """The word as a whole, if it has 64 bytes at most, and its beginnings of 4 to 8 characters, which inflected forms share."""
+    """The word as a whole, and its beginnings of 4 to 8 characters, which inflected forms share."""
     chars = word.decode("utf-8", "replace")
-    return [*([b"=" + word] if len(word) <= 64 else []), *(b"^" + chars[:n].encode() for n in range(4, min(8, len(chars)) + 1))]
+    return [b"=" + word_key(word), *(b"^" + chars[:n].encode() for n in range(4, min(8, len(chars)) + 1))]
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, label_col: str, fit_rows: int, learn: Column | None) -> DataFrame:
@@ -46,7 +46,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, label_col: str, fit_rows: int,
     if learn is not None:
         known = known.where(learn)
     known = known.groupBy("id").agg(F.round(F.avg("y")).alias("y")).orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(11)), "id").limit(fit_rows)
-    return docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), "id").select("text", "y")
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), "id")
+    return rows.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")  # a repeated id counts once
 
 
 def _word_table(sample: DataFrame, words: int, least_docs: int) -> list[bytes]:

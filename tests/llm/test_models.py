@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievewright.llm import common, mixing, pst, quality, secret_scan, simhash, toxicity
+from sievewright.llm import common, mixing, pst, quality, secret_scan, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -209,7 +209,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
 
     from .test_counts_and_spans import brute_hits
-    from .test_duplicates import brute_fingerprint, union
+    from .test_duplicates import union
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "mixing"]
     small = "/root/testdata/sf0.001"
@@ -231,8 +231,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             assert set(after) == {i for i, r in before.items() if model.score(r["text"])[0] < 0.5}
         if name == "near_duplicates":
             ids = sorted(before)
-            fps = [brute_fingerprint(before[i]["text"]) for i in ids]
-            roots = union(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= simhash.DISTANCE])
+            words = [before[i]["text"].encode().lower().split() for i in ids]
+            sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+            roots = union(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
             assert set(after) == {ids[r] for r in roots}
         if name == "decontamination":
             items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
