@@ -32,7 +32,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the folder that the cluster names; a local one only where none is named."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="sievewright-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not shared:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            import tempfile
+
+            shared = tempfile.mkdtemp(prefix="sievewright-")
+        context.setCheckpointDir(shared)
     return df.checkpoint()
