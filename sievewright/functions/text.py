@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A token: letters and digits, joined by single dots, slashes or hyphens. Java's and RE2's classes agree on it.
 TOKEN = r"[\p{L}\p{N}]+(?:[./-][\p{L}\p{N}]+)*"
+# Fixed value: what a number as a token of its own is.
+NUMERIC_TOKEN = r"(?<![A-Za-z0-9_.])[-+]?(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?![A-Za-z0-9_.])"
 NUMBER = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?"
 
 
@@ -38,20 +40,36 @@ def any_cue(text: Column, cues: Iterable[str]) -> Column:
     return text.rlike("(?i)(?:" + "|".join(cues) + ")")
 
 
+def match_spans(text: Column, pattern: str) -> Column:
+    """Where a pattern's matches stand, as structs (start, end) of characters, in any case."""
+    pattern = f"(?i)(?:{pattern})"
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+
+    def span(x: Column, k: Column) -> Column:
+        start = length(F.slice(between, F.lit(1), k + 1)) + length(F.slice(found, F.lit(1), k))
+        return F.struct(start.alias("start"), (start + F.length(x)).alias("end"))
+
+    return F.transform(found, span)
+
+
+def around(text: Column, start: Column, end: Column, before: int, after: int) -> Column:
+    """The characters from `before` ahead of a span to `after` behind it."""
+    first = F.greatest(start - F.lit(before), F.lit(0))
+    return F.substring(text, first + 1, F.least(end + F.lit(after), F.length(text)) - first)
+
+
 def numbers(text: Column) -> Column:
     """Numbers as doubles, thousands separators removed."""
     return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
 
 
 def numeric_tokens(text: Column) -> Column:
-    """Numbers that are tokens of their own (no letter, digit, dot or sign of a longer one beside them), as decimals.
-
-    The text is cut at white space and brackets, then bare punctuation is taken from the ends of each part.
-    """
-    parts = F.split(text, r"[\s()\[\]{}<>=:;\"']+")
-    bare = F.transform(parts, lambda p: F.regexp_replace(p, r"^[,.!?]+|[,.!?%]+$", ""))
-    exact = F.filter(bare, lambda p: p.rlike(r"^[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?$"))
-    return F.filter(F.transform(exact, lambda p: F.replace(p, F.lit(","), F.lit("")).try_cast("decimal(38,10)")), lambda d: d.isNotNull())
+    """Numbers that are tokens of their own, as decimals: no letter, digit, underscore or dot stands beside one; a sign
+    counts if no such character is before it, and a number may begin with its point."""
+    found = F.regexp_extract_all(text, F.lit(NUMERIC_TOKEN), F.lit(0))
+    values = F.transform(found, lambda p: F.replace(p, F.lit(","), F.lit("")).try_cast("decimal(38,10)"))
+    return F.filter(values, lambda d: d.isNotNull())
 
 
 def has_number(text: Column, value: Column) -> Column:
@@ -107,9 +125,9 @@ def _note_spans(text: str, limit: int) -> list[dict[str, int]]:
     while at < len(text):
         end = min(len(text), at + limit)
         if end < len(text):
-            half = at + limit // 2
-            cuts = [(text.rfind(mark, half, end), len(mark)) for mark in ("\n\n", "\n", " ")]
-            end = next((c + n for c, n in cuts if c >= 0), end)
+            cut = max(text.rfind(mark, at + limit // 2, end) for mark in ("\n", " "))
+            if cut > at:
+                end = cut + (2 if text.startswith("\n\n", cut) else 1)
         if text[at:end].strip():
             found.append({"start": at, "end": end})
         at = end
@@ -117,8 +135,8 @@ def _note_spans(text: str, limit: int) -> list[dict[str, int]]:
 
 
 def note_chunks(text: Column, limit: int = 1200) -> Column:
-    """Spans of a note's chunks: each as long as fits, cut after the last blank line, line end or space in the second
-    half of the limit if there is one, else hard; a chunk of white space only is dropped.
+    """Spans of a note's chunks: each as long as fits, cut after the last space or line end in the second half of the
+    limit (both line ends of a blank line go with the chunk), else hard; a chunk of white space only is dropped.
 
     Where a chunk starts depends on the one before, so this is an Arrow function and not an expression.
     """

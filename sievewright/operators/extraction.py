@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import short_id
-from ..functions.text import any_cue, mentions, segments, squeezed, unescaped
+from ..functions.text import any_cue, around, match_spans, mentions, segments, squeezed, unescaped
 
 
 @dataclass(frozen=True)
@@ -22,53 +22,80 @@ class LexicalRule:
     default_absent: bool = False
 
 
+# Fixed value: what makes a mention absent when it follows.
+ABSENT_AFTER = r"\b(?:is|was|are|were)?\s*absent\b"
+#: Characters around a mention in which uncertainty and required context are looked for, before it in which a negation
+#: is, and behind it in which ABSENT_AFTER is.
+CONTEXT, PREFIX, SUFFIX = 100, 80, 30
+
+
 def lexical_mentions(chunks: DataFrame, rules: Iterable[LexicalRule]) -> DataFrame:
-    """Rows (scope, chunk_id, rule, polarity) of sentences that name one of a rule's aliases.
+    """Rows (scope, chunk_id, sentence, rule, alias, start, end, polarity): each match of each alias in a sentence.
 
-    chunks: scope, chunk_id, text. ambiguous: an uncertainty cue, or a required context is missing; negative: a
-    negation cue before the alias in the sentence; else positive.
+    chunks: scope, chunk_id, text. ambiguous: an uncertainty cue stands within CONTEXT characters, or a required context
+    does not; negative: a negation within PREFIX characters before, or "absent" within SUFFIX behind; else positive.
     """
-    found = []
-    for r in rules:
-        names = "(?:" + "|".join(r.aliases) + ")"
-        s = F.col("sentence")
-        unsure = any_cue(s, r.uncertain) if r.uncertain else F.lit(False)
-        if r.required_context:
-            unsure = unsure | ~any_cue(s, [r.required_context])
-        negative = s.rlike(f"(?i)(?:{'|'.join(r.negations)}).{{0,80}}{names}") if r.negations else F.lit(False)
-        polarity = F.when(unsure, "ambiguous").when(negative, "negative").otherwise("positive")
-        found.append(F.when(any_cue(s, r.aliases), F.struct(F.lit(r.name).alias("rule"), polarity.alias("polarity"))))
+    s, found = F.col("sentence"), []
+
+    def judged(rule: LexicalRule, number: int, alias: str) -> Column:
+        def one(m: Column) -> Column:
+            near = around(s, m["start"], m["end"], CONTEXT, CONTEXT)
+            unsure = any_cue(near, rule.uncertain) if rule.uncertain else F.lit(False)
+            if rule.required_context:
+                unsure = unsure | ~any_cue(near, [rule.required_context])
+            negative = any_cue(around(s, m["end"], m["end"], 0, SUFFIX), [ABSENT_AFTER])
+            if rule.negations:
+                negative = negative | any_cue(around(s, m["start"], m["start"], PREFIX, 0), rule.negations)
+            polarity = F.when(unsure, "ambiguous").when(negative, "negative").otherwise("positive")
+            return F.struct(F.lit(rule.name).alias("rule"), F.lit(number).alias("alias"), m["start"].alias("start"), m["end"].alias("end"), polarity.alias("polarity"))
+
+        return F.transform(match_spans(s, alias), one)
+
+    for rule in rules:
+        found += [judged(rule, k, alias) for k, alias in enumerate(rule.aliases, 1)]
     rows = chunks.select("scope", "chunk_id", F.explode(segments(F.col("text"))).alias("sentence"))
-    return rows.select("scope", "chunk_id", "sentence", F.inline(F.array_compact(F.array(*found))))
+    return rows.select("scope", "chunk_id", "sentence", F.inline(F.concat(*found)))
+
+
+def evidence_links(mentioned: DataFrame, *names: str) -> DataFrame:
+    """Which chunks bear on what: one row per scope, name and chunk."""
+    return mentioned.select("scope", *names, "chunk_id").distinct()
 
 
 def lexical_findings(mentioned: DataFrame, scopes: DataFrame, rules: Iterable[LexicalRule]) -> DataFrame:
-    """One row per scope and rule: present, absent or unknown, with its evidence.
+    """One row per scope and rule: present, absent or unknown, why, and how many chunks bear on it, with the first one.
 
-    Positive and negative together are a conflict; ambiguous mentions count only where nothing else was found.
+    Positive and negative mentions together are a conflict; ambiguous ones decide only where nothing else was found, and
+    then keep a default from applying. The chunks themselves are evidence_links(), since a scope may have any number.
     """
-    sums = mentioned.groupBy("scope", "rule").agg(
-        F.bool_or(F.col("polarity") == "positive").alias("pos"), F.bool_or(F.col("polarity") == "negative").alias("neg"), F.array_sort(F.collect_set("chunk_id")).alias("evidence"),
-        F.array_sort(F.collect_set(F.when(F.col("polarity") != "ambiguous", F.col("chunk_id")))).alias("clean"),
-    )
+    pos, neg = F.col("polarity") == "positive", F.col("polarity") == "negative"
+    by_chunk = mentioned.groupBy("scope", "rule", "chunk_id").agg(F.bool_or(pos).alias("pos"), F.bool_or(neg).alias("neg"))
+    sums = by_chunk.groupBy("scope", "rule").agg(F.bool_or("pos").alias("pos"), F.bool_or("neg").alias("neg"), F.count("*").alias("n_evidence"), F.min("chunk_id").alias("first_evidence"))
     domain = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.default_absent).alias("default_absent")) for r in rules])
     grid = scopes.select("scope").distinct().select("scope", F.inline(domain)).join(sums, ["scope", "rule"], "left")
     both, pos, neg = F.col("pos") & F.col("neg"), F.coalesce("pos", F.lit(False)), F.coalesce("neg", F.lit(False))
-    status = F.when(pos & neg, "unknown").when(pos, "present").when(neg, "absent").when(F.col("evidence").isNotNull(), "unknown").when(F.col("default_absent"), "absent").otherwise("unknown")
-    reason = F.when(both, "conflicting").when(pos | neg, F.lit(None).cast("string")).when(F.col("evidence").isNotNull(), "ambiguous").when(F.col("default_absent"), "default").otherwise("not_mentioned")
-    cited = F.when(pos | neg, F.col("clean")).otherwise(F.coalesce("evidence", F.array().cast("array<bigint>")))
-    return grid.select("scope", "rule", status.alias("status"), reason.alias("reason"), cited.alias("evidence"))
+    there = F.col("n_evidence").isNotNull()
+    status = F.when(pos & neg, "unknown").when(pos, "present").when(neg, "absent").when(there, "unknown").when(F.col("default_absent"), "absent").otherwise("unknown")
+    reason = F.when(both, "conflicting").when(pos | neg, F.lit(None).cast("string")).when(there, "ambiguous").when(F.col("default_absent"), "default").otherwise("not_mentioned")
+    return grid.select("scope", "rule", status.alias("status"), reason.alias("reason"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), "first_evidence")
 
 
-def numeric_findings(chunks: DataFrame, aliases: dict[str, tuple[str, ...]], largest: bool = True) -> DataFrame:
-    """Per scope and name the largest (or smallest) number beside an alias, how many there are, and the chunks that hold it."""
+def numeric_mentions(chunks: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Rows (scope, chunk_id, name, value): each number beside an alias."""
     every = F.array(*[F.struct(F.lit(name).alias("name"), mentions(F.col("text"), words).alias("values")) for name, words in aliases.items()])
-    values = chunks.select("scope", "chunk_id", F.inline(every)).select("scope", "chunk_id", "name", F.explode("values").alias("value"))
+    return chunks.select("scope", "chunk_id", F.inline(every)).select("scope", "chunk_id", "name", F.explode("values").alias("value"))
+
+
+def numeric_findings(chunks: DataFrame, aliases: dict[str, tuple[str, ...]], largest: bool = True) -> DataFrame:
+    """Per scope and name the largest (or smallest) number beside an alias, how many there are, how many chunks hold it,
+    and the first of those."""
     best = F.max if largest else F.min
-    by_chunk = values.groupBy("scope", "name", "chunk_id").agg(best("value").alias("value"), F.count("*").alias("n"))
-    winner = by_chunk.groupBy("scope", "name").agg(best("value").alias("value"), F.sum("n").alias("n_mentions"))
-    holding = by_chunk.select("scope", "name", "value", "chunk_id").join(winner, ["scope", "name", "value"])
-    return holding.groupBy("scope", "name", "value", "n_mentions").agg(F.array_sort(F.collect_list("chunk_id")).alias("evidence"))
+    by_chunk = numeric_mentions(chunks, aliases).groupBy("scope", "name", "chunk_id").agg(best("value").alias("value"), F.count("*").alias("n"))
+    # per value first, so that a scope's chunks are gathered nowhere
+    by_value = by_chunk.groupBy("scope", "name", "value").agg(F.sum("n").alias("n"), F.count("*").alias("n_evidence"), F.min("chunk_id").alias("first_evidence"))
+    pick = F.max_by if largest else F.min_by
+    found = by_value.groupBy("scope", "name").agg(best("value").alias("value"), F.sum("n").alias("n_mentions"), pick(F.struct("n_evidence", "first_evidence"), "value").alias("e"))
+    return found.select("scope", "name", "value", "n_mentions", "e.n_evidence", "e.first_evidence")
 
 
 INCLUSION, EXCLUSION = r"^\W*(?:key\s+)?inclusion\s+criteria\W*$", r"^\W*(?:key\s+)?exclusion\s+criteria\W*$"

@@ -104,8 +104,8 @@ def _gather_sql(atom: Atom) -> str:
     c = _name(atom.condition_id)
     future = f"count_if({c}.own AND observed_at > __index)"
     if atom.selection == "latest":
-        # of facts observed on one day the first one by id counts
-        last = f"max_by({c}, CASE WHEN {c}.fit AND observed_at IS NOT NULL THEN struct(observed_at, -CAST(fact_id AS BIGINT)) END)"
+        # of facts observed on one day the first one by id counts, whatever an id's type
+        last = f"min_by({c}, CASE WHEN {c}.fit AND observed_at IS NOT NULL THEN struct(-unix_date(observed_at), fact_id) END)"
         parts = (f"count_if({c}.fit AND observed_at IS NOT NULL)", f"coalesce({last}.outcome, false)", f"coalesce(NOT {last}.outcome, false)", f"array_compact(array({last}.why))")
     else:
         fits = lambda x: f"coalesce(bool_or(CASE WHEN {c}.fit THEN {x} END), false)"
@@ -195,17 +195,21 @@ def match(facts: DataFrame, atoms: list[Atom], trials: list[Trial], index: Colum
 
 def latest_facts(facts: DataFrame, index: Column) -> DataFrame:
     """As-of lookup: for each patient and field the last fact not after the index date, the first by id on ties."""
-    best = F.max_by(F.struct("fact_id", "num", "unit", "observed_at"), F.struct("observed_at", -F.col("fact_id")))
+    best = F.min_by(F.struct("fact_id", "num", "unit", "observed_at"), F.struct(-F.unix_date("observed_at"), "fact_id"))
     rows = facts.where(F.col("observed_at") <= index).groupBy("patient_id", "field").agg(best.alias("f"))
     return rows.select("patient_id", "field", F.col("f.fact_id").alias("fact_id"), F.col("f.num").alias("num"), F.col("f.unit").alias("unit"), F.col("f.observed_at").alias("observed_at"))
 
 
 def cited_evidence(facts: DataFrame, atoms: list[Atom], index: Column) -> DataFrame:
-    """Rows (patient_id, condition_id, evidence): what each atom's in-window facts cite, incompatible ones too,
-    each once, in the order of the facts' ids."""
-    said = facts.withColumn("__index", index).selectExpr("patient_id", "fact_id", "evidence_ids", *[_fact_sql(a) for a in atoms])
+    """Rows (patient_id, condition_id, evidence): what the facts that an atom rests on cite, incompatible ones too, each
+    once, in the order of the facts' ids: of ANY and ALL the in-window facts, of LATEST the one fact that counts."""
+    said = facts.withColumn("__index", index).selectExpr("patient_id", "fact_id", "observed_at", "evidence_ids", *[_fact_sql(a) for a in atoms])
     fitting = ", ".join(f"CASE WHEN {_name(a.condition_id)}.fit THEN {_text(a.condition_id)} END" for a in atoms)
-    cited = said.selectExpr("patient_id", "fact_id", "evidence_ids", f"explode(array_compact(array({fitting}))) AS condition_id")
+    cited = said.selectExpr("patient_id", "fact_id", "observed_at", "evidence_ids", f"explode(array_compact(array({fitting}))) AS condition_id")
+    of_latest = F.col("condition_id").isin(*[a.condition_id for a in atoms if a.selection == "latest"] or [""])
+    last = F.min_by(F.struct("fact_id", "evidence_ids"), F.struct(-F.unix_date("observed_at"), "fact_id"))
+    latest = cited.where(of_latest & F.col("observed_at").isNotNull()).groupBy("patient_id", "condition_id").agg(last.alias("f"))
+    cited = cited.where(~of_latest).select("patient_id", "condition_id", "fact_id", "evidence_ids").unionByName(latest.select("patient_id", "condition_id", "f.fact_id", "f.evidence_ids"))
     first = cited.select("patient_id", "condition_id", "fact_id", F.posexplode("evidence_ids").alias("pos", "evidence")).groupBy("patient_id", "condition_id", "evidence").agg(F.min(F.struct("fact_id", "pos")).alias("at"))
     ordered = F.array_sort(F.collect_list(F.struct("at", "evidence")))
     return first.groupBy("patient_id", "condition_id").agg(F.transform(ordered, lambda x: x["evidence"]).alias("evidence"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
 from ..functions.logic import ratio
+from ..session import checkpointed
 
 
 def confusion(rows: DataFrame, gold: str, predicted: str, labels: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -63,17 +64,58 @@ def numeric_metrics(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return rows.groupingSets([[F.col(k) for k in keys], []], *[F.col(k) for k in keys]).agg(*aggs) if keys else rows.agg(*aggs)
 
 
-def coverage_risk(rows: DataFrame, score: str, correct: str, abstained: str) -> DataFrame:
-    """For each distinct score from the top, those of abstained rows too: answered rows at or above it, their share of
-    all (coverage) and the wrong ones among them (risk, null if none is answered)."""
+def coverage_risk(rows: DataFrame, score: str, correct: str, abstained: str, thresholds: Sequence[float] | None = None, abstain_all: bool = False) -> DataFrame:
+    """For each threshold from the top: answered rows at or above it, their share of all (coverage) and the wrong ones
+    among them (risk, null if none is answered). Thresholds are the distinct scores, those of abstained rows too, or
+    the given ones, each once and from 0 to 1; `abstain_all` puts a point without a threshold first, where nothing is answered."""
     answered = ~F.col(abstained)
     by_score = rows.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.count_if(answered).alias("a"), F.count_if(answered & ~F.col(correct)).alias("w"))
-    # thresholds are few beside the rows; their running sums are one window over them
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    if thresholds is not None:
+        if any(not 0 <= t <= 1 for t in thresholds):
+            raise ValueError("thresholds are from 0 to 1")
+        steps = F.array(*[F.lit(float(t)) for t in sorted(set(thresholds))])
+        reached = F.when(F.col("threshold") >= 0, F.filter(steps, lambda t: t <= F.col("threshold")))
+        last = by_score.select(F.get(reached, F.size(reached) - 1).alias("threshold"), "n", "a", "w")
+        empty = rows.sparkSession.range(1).select(F.explode(steps).alias("threshold"), *[F.lit(0).cast("long").alias(c) for c in "naw"])
+        by_score = last.unionByName(empty).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in "naw"])
+    by_score = checkpointed(by_score)
     total = by_score.agg(F.sum("n").alias("total"))
-    sums = by_score.select("threshold", F.sum("a").over(down).alias("answered"), F.sum("w").over(down).alias("wrong"))
-    points = sums.join(F.broadcast(total))
-    return points.select("threshold", "answered", ratio(F.col("answered"), F.col("total")).alias("coverage"), ratio(F.col("wrong"), F.col("answered")).alias("risk"))
+    sums = running_sums(by_score.where("threshold is not null"), "threshold", {"answered": "a", "wrong": "w"})
+    points = sums.join(F.broadcast(total)).select("threshold", "answered", ratio(F.col("answered"), F.col("total")).alias("coverage"), ratio(F.col("wrong"), F.col("answered")).alias("risk"))
+    if abstain_all:
+        none = total.select(F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("answered"), F.lit(0.0).alias("coverage"), F.lit(None).cast("double").alias("risk")).where("total is not null")
+        points = none.unionByName(points.withColumn("threshold", F.col("threshold").cast("double")))
+    return points
+
+
+def _placed(rows: DataFrame, order: Column) -> DataFrame:
+    """rows dealt over partitions by ranges of `order`, with their partition (__part) and place in it (__place)."""
+    dealt = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
+    return checkpointed(dealt).withColumn("__part", F.shiftright("__at", 33)).withColumn("__place", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at")
+
+
+def _before(placed: DataFrame, sums: Mapping[str, Column]) -> DataFrame:
+    """What the partitions before each one sum up to: a row per partition."""
+    parts = placed.groupBy("__part").agg(*[c.alias(name) for name, c in sums.items()])
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("__part", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in sums])
+
+
+def running_sums(rows: DataFrame, order: str, columns: Mapping[str, str]) -> DataFrame:
+    """`order` (distinct values, from the top) with running sums of columns, named by `columns`: no task holds more than
+    a range of the rows; ranges' totals are a row per partition."""
+    placed = _placed(rows, F.col(order).desc())
+    down = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.select(order, "__part", *[F.sum(c).over(down).alias(name) for name, c in columns.items()])
+    before = _before(placed, {f"__{name}": F.sum(c) for name, c in columns.items()})
+    return own.join(F.broadcast(before), "__part").select(order, *[(F.col(name) + F.col(f"__{name}")).alias(name) for name in columns])
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """rows with their ordinals from 0 by `order`."""
+    placed = _placed(rows, F.col(order).asc())
+    before = _before(placed, {"__rows": F.count("*")})
+    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__rows") + F.col("__place")).drop("__rows", "__part", "__place")
 
 
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
@@ -133,11 +175,11 @@ def clustered_bootstrap(clusters: DataFrame, statistic_top: str, statistic_botto
     clusters: cluster, and the two sums; one row each, so a replicate costs draws of clusters and no copies of
     rows. A draw is a hash of seed, replicate and slot, alike in every run.
     """
-    numbered = clusters.withColumn("ordinal", F.row_number().over(Window.orderBy("cluster")) - 1)
-    size = clusters.agg(F.count("*").alias("size"))
-    slots = size.select("size", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).select("size", "replicate", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("slot"))
-    times = slots.select("replicate", draw(seed, F.col("size"), F.col("replicate"), F.col("slot")).alias("ordinal")).groupBy("replicate", "ordinal").agg(F.count("*").alias("times"))
-    sums = times.join(numbered, "ordinal").groupBy("replicate").agg(F.sum(F.col("times") * F.col(statistic_top)).alias("t"), F.sum(F.col("times") * F.col(statistic_bottom)).alias("b"))
+    clusters = checkpointed(clusters)
+    size = clusters.count()
+    slots = clusters.sparkSession.range(replicates * size).select((F.floor(F.col("id") / F.lit(max(1, size))) + 1).alias("replicate"), (F.col("id") % F.lit(max(1, size)) + 1).alias("slot"))
+    times = slots.select("replicate", draw(seed, F.lit(size), F.col("replicate"), F.col("slot")).alias("ordinal")).groupBy("replicate", "ordinal").agg(F.count("*").alias("times"))
+    sums = times.join(numbered(clusters, "cluster", "ordinal"), "ordinal").groupBy("replicate").agg(F.sum(F.col("times") * F.col(statistic_top)).alias("t"), F.sum(F.col("times") * F.col(statistic_bottom)).alias("b"))
     values = sums.select(ratio(F.col("t"), F.col("b")).alias("value"))
     whole = clusters.agg(ratio(F.sum(statistic_top), F.sum(statistic_bottom)).alias("estimate"), F.count("*").alias("n_clusters"))
     return whole.join(F.broadcast(values.agg(F.percentile("value", low).alias("low"), F.percentile("value", high).alias("high"))))

@@ -24,14 +24,18 @@ def abstention_reason(rows: DataFrame) -> Column:
     stray = F.size(F.array_except("cited", "known")) > 0
     return first_reason({
         "invalid_schema": ~F.col("schema_valid"), "unusable_evidence": stray, "missing_evidence": F.col("needs_evidence") & (F.size("cited") == 0) & (F.col("status") != "unknown"),
-        "incompatible_unit": F.col("unit").isNotNull() & ~F.col("unit").eqNullSafe(F.col("expected_unit")), "verifier_conflict": ~F.col("verifier_agrees"), "missing_fact": F.col("status") == "unknown",
+        "incompatible_unit": ~F.col("unit").eqNullSafe(F.col("expected_unit")), "verifier_conflict": ~F.col("verifier_agrees"), "missing_fact": F.col("status") == "unknown",
     })
 
 
 def projected(rows: DataFrame) -> DataFrame:
-    """Predictions after the policy: with a reason the status is unknown and the value gone; unusable evidence is not cited."""
+    """Predictions after the policy: with a reason the status is unknown and the value gone; unusable evidence is not
+    cited. A column trace_ids gets the reason's rule, once."""
     out = rows.withColumn("reason", abstention_reason(rows))
     gone = F.col("reason").isNotNull()
+    if "trace_ids" in rows.columns:
+        rule = F.array(F.concat(F.lit("deterministic_abstention."), F.col("reason")))
+        out = out.withColumn("trace_ids", F.when(gone, F.array_union(F.coalesce("trace_ids", F.array().cast("array<string>")), rule)).otherwise(F.col("trace_ids")))
     return out.withColumns({
         "status": F.when(gone, "unknown").otherwise(F.col("status")), "value": F.when(~gone, F.col("value")), "abstained": gone,
         "cited": F.when(F.col("reason") == "unusable_evidence", F.array().cast("array<string>")).otherwise(F.col("cited")),
@@ -46,20 +50,27 @@ def operating_point(rows: DataFrame, answered: Column, correct: Column) -> DataF
 
 
 def typed_exact(rows: DataFrame) -> Column:
-    """Status, unit and value all as in gold; of an unknown status nothing else counts."""
-    same = F.col("gold_status") == F.col("status")
-    return F.coalesce(same & ((F.col("gold_status") == "unknown") | (F.col("gold_unit").eqNullSafe(F.col("unit")) & F.col("gold_value").eqNullSafe(F.col("value")))), F.lit(False))
+    """Status, unit and value all as in gold; a value beside an unknown status is wrong."""
+    value = F.when(F.col("gold_status") == "unknown", F.col("value").isNull()).otherwise(F.col("gold_value").eqNullSafe(F.col("value")))
+    return F.coalesce((F.col("gold_status") == F.col("status")) & F.col("gold_unit").eqNullSafe(F.col("unit")) & value, F.lit(False))
 
 
 def attribution(rows: DataFrame) -> Column:
-    """Category of a wrong row; null for a right one. rows: gold_* and predicted columns, cited, known."""
-    exact = typed_exact(rows)
-    known = F.col("gold_status") != "unknown"
-    why = first_reason({
-        "unsupported": F.size(F.array_except("cited", "known")) > 0, "unit": ~F.col("gold_unit").eqNullSafe(F.col("unit")) & F.col("value").isNotNull(), "abstention_on_known": known & (F.col("status") == "unknown"),
-        "numeric_value": (F.col("gold_status") == F.col("status")) & ~F.col("gold_value").eqNullSafe(F.col("value")), "status": F.col("gold_status") != F.col("status"),
-    }, "other")
-    return F.when(~exact, why)
+    """The first category that a row falls into; null for a right one. rows: gold_* and predicted columns, cited, known,
+    and, where they are there, numeric (all rows are, by default) and needs_evidence (all do).
+
+    A known answer has to cite, and only what is the patient's, even if it is right. Numbers are compared where both
+    statuses are present.
+    """
+    known = F.col("status") != "unknown"
+    needs = F.col("needs_evidence") if "needs_evidence" in rows.columns else F.lit(True)
+    numeric = F.col("numeric") if "numeric" in rows.columns else F.lit(True)
+    stray = (F.size(F.array_except("cited", "known")) > 0) | (needs & (F.size("cited") == 0))
+    both = (F.col("gold_status") == "present") & (F.col("status") == "present")
+    return first_reason({
+        "unsupported": known & stray, "unit": ~F.col("gold_unit").eqNullSafe(F.col("unit")), "abstention_on_known": ~known & (F.col("gold_status") != "unknown"),
+        "numeric_value": numeric & both & ~F.col("gold_value").eqNullSafe(F.col("value")), "status": F.col("gold_status") != F.col("status"), "other": ~typed_exact(rows),
+    })
 
 
 def with_zeros(counts: DataFrame, name: str, domain: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:

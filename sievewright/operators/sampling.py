@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import rank_hash
-from ..functions.vector import dot, normalized
+from ..functions.vector import normalized
 from ..session import checkpointed
 
 
-#: Parts of all vectors that are compared with one another where no block is given.
-TILES = 16
+#: Vectors of a block that are compared in one group with as many others.
+TILE_ROWS = 1500
 
 
 def hash_sample(rows: DataFrame, key: str, n: int, seed: str, strata: Sequence[str] = ()) -> DataFrame:
@@ -77,23 +78,46 @@ def pooled(vectors: DataFrame, group: str, vec: str) -> DataFrame:
 
 def cosine_pairs(vectors: DataFrame, key: str, vec: str, block: str | None, threshold: float, split: str | None = None) -> DataFrame:
     """Pairs (left_id, right_id, similarity) of one block whose cosine is `threshold` or more; with `split` only those
-    on different sides. A block is the unit within which pairs count, such as a label: it is the join's key. Without
-    a block all vectors are compared: they are dealt to TILES by a hash, and each pair of tiles is a group of its own."""
-    unit = vectors.select(key, *([block] if block else []), *([split] if split else []), normalized(F.col(vec)).alias("u")).where("u is not null")
-    if block is None:
-        tile = F.pmod(F.xxhash64(key), F.lit(TILES)).cast("int")
-        unit = unit.withColumn("__tile", tile).withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(TILES - 1))))
-        unit = unit.withColumn("__tiles", F.least("__tile", "__other") * TILES + F.greatest("__tile", "__other"))
-    a, b = unit.alias("a"), unit.alias("b")
-    same = block or "__tiles"
-    on = (F.col(f"a.{same}") == F.col(f"b.{same}")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
-    if block is None:  # two of a tile meet where it is paired with itself
-        on = on & ((F.col("a.__tile") != F.col("b.__tile")) | (F.col("a.__tile") == F.col("a.__other")))
-    if split:
-        on = on & (F.col(f"a.{split}") != F.col(f"b.{split}"))
-    similarity = dot(F.col("a.u"), F.col("b.u"))
-    pairs = a.join(b, on).select(F.col(f"a.{key}").alias("left_id"), F.col(f"b.{key}").alias("right_id"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), similarity)).alias("similarity"))
-    return pairs.where(F.col("similarity") >= threshold)
+    on different sides. A block is the unit within which pairs count, such as a label; without one all vectors are compared.
+
+    A block's vectors are dealt by a hash to tiles of about TILE_ROWS, and each pair of tiles is a group of its own and
+    one product of matrices: a hot block is as many tasks as it has pairs of tiles, and no group grows with it.
+    """
+    side = F.col(split).cast("string") if split else F.lit(None).cast("string")
+    unit = vectors.select(F.col(key).alias("id"), (F.col(block) if block else F.lit(0)).alias("block"), side.alias("side"), normalized(F.col(vec)).alias("u")).where("u is not null and id is not null and block is not null")
+    sizes = unit.groupBy("block").agg(F.ceil(F.count("*") / F.lit(TILE_ROWS)).cast("int").alias("tiles"))
+    placed = unit.join(sizes, "block").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("id", "block", "side", "u", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile")
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def compare(group: pa.Table) -> pa.Table:
+        sizes = np.asarray(group.column("u").combine_chunks().value_lengths())
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for dim in np.unique(sizes):
+            at = np.flatnonzero(sizes == dim)
+            some = group.take(pa.array(at))
+            u = np.asarray(some.column("u").combine_chunks().flatten(), dtype=float).reshape(len(at), dim)
+            tile = some.column("tile").to_numpy()
+            low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+            a, b = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
+            value = np.clip(u[a] @ u[b].T, -1.0, 1.0)
+            i, j = np.nonzero(value >= threshold)
+            if low == high:
+                i, j = i[i < j], j[i < j]
+            x = value[i, j]
+            i, j = a[i], b[j]
+            if split:
+                names = np.array(some.column("side").to_pylist(), dtype=object)
+                on = np.array([p is not None and q is not None and p != q for p, q in zip(names[i], names[j], strict=True)], dtype=bool)
+                i, j, x = i[on], j[on], x[on]
+            found.append((at[i], at[j], x))
+        i, j, x = (np.concatenate(p) for p in zip(*found, strict=True))
+        ids = group.column("id")
+        return pa.table([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(x)], names=["a", "b", "similarity"])
+
+    pairs = dealt.groupBy("block", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}, similarity double").where("a <> b")
+    return pairs.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "similarity")
 
 
 def merged_pairs(pairs: DataFrame) -> DataFrame:
@@ -102,26 +126,36 @@ def merged_pairs(pairs: DataFrame) -> DataFrame:
     return rows.groupBy("left_id", "right_id").agg(F.max("similarity").alias("similarity"), F.count("*").alias("n_scans"), (F.max("similarity") - F.min("similarity") <= 1e-12).alias("consistent"))
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows (node, root): the least node each node of `edges` (u, v) is connected with.
 
-    Each round every node takes the least label among its own, its neighbours' and that label's own label, so long
-    chains shrink by half; rounds are checkpointed to the cluster's shared folder.
+    Large-star and small-star steps in turn (Kiveris et al., 2014): each node's neighbours move to its least one, so a
+    component becomes a star in O(log^2 n) rounds. Minima are found with partial sums on each task; rounds are
+    checkpointed to the cluster's shared folder. Edges with a null end are left out, a node's edge to itself stays a node.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u is not null and v is not null").distinct()
-    both = checkpointed(both)
-    labels = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("label"))
-    labels = checkpointed(labels)
+    whole = edges.select("u", "v").where("u is not null and v is not null")
+    own = whole.where("u = v").select("u").distinct()
+    turned = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    now = checkpointed(turned(whole))
+    before = state(now)
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("u").alias("label"), F.col("label").alias("above"))
-        step = labels.join(near, "u", "left").join(jump, "label", "left")
-        new = checkpointed(step.select("u", F.least("label", "near", "above").alias("label"), (F.least("label", "near", "above") != F.col("label")).alias("moved")))
-        moved = new.where("moved").limit(1).count()
-        labels = new.select("u", "label")
-        if not moved:
-            return labels.select(F.col("u").alias("node"), F.col("label").alias("root"))
-    raise RuntimeError("components did not converge")
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+        large = turned(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = checkpointed(turned(small.unionByName(least.select("u", F.col("m").alias("v")))))
+        after = state(now)
+        if after == before:
+            break
+        before = after
+    else:
+        raise RuntimeError("components did not converge")
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    alone = own.select(F.col("u").alias("node"), F.col("u").alias("root"))
+    return stars.unionByName(roots).unionByName(alone.join(stars.unionByName(roots), "node", "left_anti"))
 
 
 def pair_cost(observed: Column, target: Column, total: Column) -> Column:

@@ -48,14 +48,14 @@ def numeric_value_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled(spark, sf_dir).withColumn("abstained", F.coalesce(F.col("predicted") == "unknown", F.lit(True))).withColumn("correct", F.coalesce(F.col("gold") == F.col("predicted"), F.lit(False)))
-    found = x.coverage_risk(rows, "score", "correct", "abstained")
+    found = x.coverage_risk(rows, "score", "correct", "abstained", abstain_all=True)
     return found.select("threshold", "answered", F.round("coverage", 9).alias("coverage"), F.round("risk", 9).alias("risk"))
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("scope"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
     queries = vectors.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
-    return r.ranked(r.dense_scores(vectors, queries), ["query_id"], 50).select("query_id", F.col("chunk_id").alias("item"), "rank")
+    return r.global_top_k(vectors, queries, 50).select("query_id", F.col("chunk_id").alias("item"), "rank")
 
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.col("doc_id").cast("string")
     return docs.select(
         "doc_id", "lang", (n % 29 != 0).alias("schema_valid"), F.when(n % 23 == 0, F.array().cast("array<string>")).when(n % 19 == 0, F.array(own, F.lit("x"))).otherwise(F.array(own)).alias("cited"), F.array(own).alias("known"),
-        (F.col("lang") != "de").alias("needs_evidence"), F.when(n % 17 == 0, "bytes").otherwise("chars").alias("unit"), F.lit("chars").alias("expected_unit"), (n % 31 != 0).alias("verifier_agrees"),
+        (F.col("lang") != "de").alias("needs_evidence"), F.when(n % 17 == 0, "bytes").when(n % 37 != 0, "chars").alias("unit"), F.lit("chars").alias("expected_unit"), (n % 31 != 0).alias("verifier_agrees"),
         F.when(n < 300, "unknown").when(F.col("text").rlike(r"[*&$#%|]"), "absent").otherwise("present").alias("status"), F.floor(n / 100).cast("double").alias("value"),
         F.when(F.col("toxic") == 1, "unknown").when(F.col("quality") == 1, "present").otherwise("absent").alias("gold_status"), F.lit("chars").alias("gold_unit"), F.floor(F.col("n_chars") / 100).cast("double").alias("gold_value"),
     )
@@ -165,10 +165,10 @@ _DENSE = f"""dense AS (SELECT q.vec_id AS query_id, v.vec_id AS item, {r'list_in
 ranked AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS rank FROM dense QUALIFY rank <= 50),
 rel AS (SELECT q.vec_id AS query_id, e.vec_id AS item, CASE WHEN e.vec_id // 100 = q.vec_id // 100 THEN 2 ELSE 1 END AS grade FROM embeddings e JOIN embeddings q ON e.label = q.label AND e.vec_id <> q.vec_id AND q.vec_id % 100 = 0)"""
 _PRED = """q AS (SELECT doc_id, lang, length(text) AS n, length(text) % 29 <> 0 AS schema_valid, CASE WHEN length(text) % 23 = 0 THEN 0 WHEN length(text) % 19 = 0 THEN 2 ELSE 1 END AS n_cited, lang <> 'de' AS needs,
-  CASE WHEN length(text) % 17 = 0 THEN 'bytes' ELSE 'chars' END AS unit, length(text) % 31 <> 0 AS agrees,
+  CASE WHEN length(text) % 17 = 0 THEN 'bytes' WHEN length(text) % 37 <> 0 THEN 'chars' END AS unit, length(text) % 31 <> 0 AS agrees,
   CASE WHEN length(text) < 300 THEN 'unknown' WHEN regexp_matches(text, '[*&$#%|]') THEN 'absent' ELSE 'present' END AS status, floor(length(text)::DOUBLE / 100) AS value,
   CASE WHEN toxic = 1 THEN 'unknown' WHEN quality = 1 THEN 'present' ELSE 'absent' END AS gold_status, floor(n_chars::DOUBLE / 100) AS gold_value FROM documents JOIN labels USING (doc_id)),
-w AS (SELECT *, CASE WHEN NOT schema_valid THEN 'invalid_schema' WHEN n_cited = 2 THEN 'unusable_evidence' WHEN needs AND n_cited = 0 AND status <> 'unknown' THEN 'missing_evidence' WHEN unit = 'bytes' THEN 'incompatible_unit' WHEN NOT agrees THEN 'verifier_conflict' WHEN status = 'unknown' THEN 'missing_fact' END AS reason FROM q)"""
+w AS (SELECT *, CASE WHEN NOT schema_valid THEN 'invalid_schema' WHEN n_cited = 2 THEN 'unusable_evidence' WHEN needs AND n_cited = 0 AND status <> 'unknown' THEN 'missing_evidence' WHEN unit IS DISTINCT FROM 'chars' THEN 'incompatible_unit' WHEN NOT agrees THEN 'verifier_conflict' WHEN status = 'unknown' THEN 'missing_fact' END AS reason FROM q)"""
 _POINT = "count(*) AS n, count(*) FILTER (s <> 'unknown') AS answered, count(*) FILTER (s <> 'unknown' AND s <> gold_status) AS wrong, round(answered::DOUBLE / n, 9) AS coverage, round(wrong::DOUBLE / nullif(answered, 0), 9) AS risk"
 
 ORACLES = {
@@ -177,7 +177,7 @@ ORACLES = {
     "class_summary": _CELLS + " SELECT round(sum(tp)::DOUBLE / sum(support), 9) AS accuracy, round(2.0::DOUBLE * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 9) AS micro_f1, round(sum(f1) FILTER (tp + fp + fn > 0) / count(*) FILTER (tp + fp + fn > 0), 9) AS macro_f1, round(avg(f1), 9) AS macro_f1_all FROM m",
     "numeric_value_metrics": f"WITH {_ROWS}, v AS (SELECT *, coalesce(gold_value IS NOT NULL AND predicted_value IS NOT NULL AND predicted_unit = 'chars', false) AS valid FROM r) SELECT lang, {_NUM} FROM v GROUP BY lang UNION ALL SELECT '(all)', {_NUM} FROM v",
     "coverage_risk": f"""WITH {_ROWS}, b AS (SELECT score, count(*) AS n, count(*) FILTER (predicted <> 'unknown') AS a, count(*) FILTER (predicted <> 'unknown' AND predicted <> gold) AS w FROM r GROUP BY score)
-SELECT score AS threshold, CAST(sum(a) OVER o AS BIGINT) AS answered, round((sum(a) OVER o)::DOUBLE / (sum(n) OVER ())::DOUBLE, 9) AS coverage, round((sum(w) OVER o)::DOUBLE / nullif((sum(a) OVER o)::DOUBLE, 0), 9) AS risk FROM b WINDOW o AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)""",
+SELECT score AS threshold, CAST(sum(a) OVER o AS BIGINT) AS answered, round((sum(a) OVER o)::DOUBLE / (sum(n) OVER ())::DOUBLE, 9) AS coverage, round((sum(w) OVER o)::DOUBLE / nullif((sum(a) OVER o)::DOUBLE, 0), 9) AS risk FROM b WINDOW o AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) UNION ALL SELECT NULL, 0, 0.0::DOUBLE, NULL""",
     "recall_mrr_ndcg": f"""WITH {_DENSE}, j AS (SELECT rel.*, rank, row_number() OVER (PARTITION BY rel.query_id ORDER BY grade DESC, rel.item) AS ir FROM rel LEFT JOIN ranked USING (query_id, item))
 SELECT query_id, count(*) AS n_relevant, round((count(*) FILTER (rank <= 10))::DOUBLE / count(*), 9) AS recall, round(coalesce(1.0::DOUBLE / min(rank), 0), 9) AS reciprocal_rank,
   round(coalesce(sum((2.0::DOUBLE ** grade - 1) / log2(rank + 1)) FILTER (rank <= 10), 0) / sum((2.0::DOUBLE ** grade - 1) / log2(ir + 1)) FILTER (ir <= 10), 9) AS ndcg FROM j GROUP BY query_id""",
@@ -197,6 +197,7 @@ d(category) AS (VALUES ('correct'), ('retrieval_failure'), ('false_abstention'),
     "abstention_projection": f"WITH {_PRED} SELECT doc_id, CASE WHEN reason IS NULL THEN status ELSE 'unknown' END AS status, CASE WHEN reason IS NULL THEN value END AS value, reason IS NOT NULL AS abstained, coalesce(reason, '') AS reason, CAST(CASE WHEN reason = 'unusable_evidence' THEN 0 ELSE n_cited END AS BIGINT) AS n_cited FROM w",
     "abstention_reasons": f"WITH {_PRED}, d(reason) AS (VALUES " + ", ".join(f"('{k}')" for k in p.ABSTENTION) + "), l AS (SELECT DISTINCT lang FROM w WHERE reason IS NOT NULL) SELECT lang, reason, (SELECT count(*) FROM w WHERE w.reason = d.reason AND w.lang = l.lang) AS n FROM l, d",
     "operating_points": f"WITH {_PRED} SELECT 'before' AS stage, {_POINT} FROM (SELECT status AS s, gold_status FROM w) UNION ALL SELECT 'after', {_POINT} FROM (SELECT CASE WHEN reason IS NULL THEN status ELSE 'unknown' END AS s, gold_status FROM w)",
-    "attribution_counts": f"""WITH {_PRED}, c AS (SELECT CASE WHEN n_cited = 2 THEN 'unsupported' WHEN unit <> 'chars' AND value IS NOT NULL THEN 'unit' WHEN gold_status <> 'unknown' AND status = 'unknown' THEN 'abstention_on_known' WHEN gold_status = status AND gold_value IS DISTINCT FROM value THEN 'numeric_value' WHEN gold_status <> status THEN 'status' ELSE 'other' END AS category
-  FROM q WHERE NOT (gold_status = status AND (gold_status = 'unknown' OR (unit = 'chars' AND gold_value IS NOT DISTINCT FROM value)))), d(category) AS (VALUES """ + ", ".join(f"('{k}')" for k in p.ATTRIBUTION) + ") SELECT category, (SELECT count(*) FROM c WHERE c.category = d.category) AS n FROM d",
+    "attribution_counts": f"""WITH {_PRED}, c AS (SELECT CASE WHEN status <> 'unknown' AND (n_cited = 2 OR (n_cited = 0 AND needs)) THEN 'unsupported' WHEN unit IS DISTINCT FROM 'chars' THEN 'unit' WHEN gold_status <> 'unknown' AND status = 'unknown' THEN 'abstention_on_known'
+  WHEN gold_status = 'present' AND status = 'present' AND gold_value IS DISTINCT FROM value THEN 'numeric_value' WHEN gold_status <> status THEN 'status'
+  WHEN (CASE WHEN gold_status = 'unknown' THEN value IS NOT NULL ELSE gold_value IS DISTINCT FROM value END) THEN 'other' END AS category FROM q), d(category) AS (VALUES """ + ", ".join(f"('{k}')" for k in p.ATTRIBUTION) + ") SELECT category, (SELECT count(*) FROM c WHERE c.category = d.category) AS n FROM d",
 }

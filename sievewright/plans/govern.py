@@ -78,7 +78,7 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").withColumn("all", F.col("label"))
-    pairs = s.cosine_pairs(vectors, "vec_id", "embedding", "label", 0.9)
+    pairs = s.cosine_pairs(vectors, "vec_id", "embedding", "label", 0.35)
     return g.split_leakage(_members(spark, sf_dir), pairs)
 
 
@@ -144,13 +144,13 @@ def vector_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = s.cosine_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.6)
+    found = s.cosine_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.35)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
 def cross_split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = s.holdout(table(spark, sf_dir, "embeddings"), "vec_id", {"train": 0.7, "validation": 0.15, "test": 0.15}, "split-1")
-    found = s.cosine_pairs(vectors, "vec_id", "embedding", "label", 0.6, "split")
+    found = s.cosine_pairs(vectors, "vec_id", "embedding", "label", 0.35, "split")
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -196,7 +196,7 @@ b AS (SELECT *, lag("end") OVER (PARTITION BY conv_id ORDER BY start, "end") AS
 SELECT * FROM v WHERE violations <> ''""",
     "split_leakage": f"""WITH m AS (SELECT doc_id, split, sha256(text) AS content FROM {_split('doc_id', 'documents')}), {_PAIRS}
 SELECT 'entity' AS kind, doc_id::VARCHAR AS key, count(*) AS rows FROM m GROUP BY doc_id HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'content', content, count(*) FROM m GROUP BY content HAVING count(DISTINCT split) > 1
-UNION ALL SELECT 'near_duplicate', left_id || '|' || right_id, 2 FROM p JOIN m a ON a.doc_id = left_id JOIN m b ON b.doc_id = right_id WHERE similarity >= 0.9 AND a.split <> b.split""",
+UNION ALL SELECT 'near_duplicate', left_id || '|' || right_id, 2 FROM p JOIN m a ON a.doc_id = left_id JOIN m b ON b.doc_id = right_id WHERE similarity >= 0.35 AND a.split <> b.split""",
     "holdout_split": f"SELECT doc_id AS entity_id, split FROM {_split('doc_id', 'documents')}",
     "readiness_gaps": """WITH c AS (SELECT count(*) AS l, count(*) FILTER (toxic = 1) AS t, count(*) FILTER (quality = 0) AS q FROM labels), g AS (SELECT list_filter([CASE WHEN l < 300 THEN 'labelled: ' || l || ' of 300' END, CASE WHEN t < 1000000000 THEN 'toxic: ' || t || ' of 1000000000' END, CASE WHEN q < 1000000000 THEN 'low_quality: ' || q || ' of 1000000000' END], lambda x: x IS NOT NULL) AS g FROM c)
 SELECT array_to_string(g, '; ') AS gaps, len(g) = 0 AS ready FROM g""",
@@ -214,8 +214,8 @@ SELECT lang, round(avg(abs(v - w)), 6) AS mean_deviation, round(max(abs(v - w)),
     "calibration_reserve": f"SELECT doc_id AS entity_id, CASE WHEN row_number() OVER (ORDER BY sha256('calibrate-1|' || doc_id)) <= 30 THEN 'calibration' ELSE 'fit' END AS part FROM {_split('doc_id', 'documents')} WHERE split = 'train'",
     "vector_pooling": """WITH u AS (SELECT label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT label, e, sqrt(list_inner_product(e, e)) AS n FROM u), x AS (SELECT label, unnest(range(len(e)::BIGINT)) AS pos, unnest(list_transform(e, lambda v: v / n)) AS v FROM n), m AS (SELECT label, pos, avg(v) AS m FROM x GROUP BY ALL)
 SELECT label, pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 9) AS x FROM m""",
-    "cosine_pairs": f"WITH {_PAIRS} SELECT left_id, right_id, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.6",
-    "cross_split_pairs": f"WITH {_PAIRS}, s AS (SELECT vec_id, split FROM {_split('vec_id', 'embeddings')}) SELECT left_id, right_id, round(similarity, 6) AS similarity FROM p JOIN s a ON a.vec_id = left_id JOIN s b ON b.vec_id = right_id WHERE similarity >= 0.6 AND a.split <> b.split",
+    "cosine_pairs": f"WITH {_PAIRS} SELECT left_id, right_id, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.35",
+    "cross_split_pairs": f"WITH {_PAIRS}, s AS (SELECT vec_id, split FROM {_split('vec_id', 'embeddings')}) SELECT left_id, right_id, round(similarity, 6) AS similarity FROM p JOIN s a ON a.vec_id = left_id JOIN s b ON b.vec_id = right_id WHERE similarity >= 0.35 AND a.split <> b.split",
     "components": f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT left_id AS x, right_id AS y FROM p WHERE similarity >= 0.8 UNION SELECT min(doc_id) OVER (PARTITION BY text), doc_id FROM documents), s AS (SELECT x, y FROM e WHERE x <> y UNION SELECT y, x FROM e WHERE x <> y),
 r AS (SELECT x, x AS y FROM s UNION SELECT r.x, s.y FROM r JOIN s ON r.y = s.x) SELECT x AS node, min(y) AS root FROM r GROUP BY x""",
 }

@@ -151,7 +151,7 @@ FROM scored""",
     "criterion_decisions": _BASE + "SELECT patient_id, trial_id, criterion_id, decision, CAST(n_resolved AS BIGINT) AS n_resolved FROM judged",
     "latest_fact_asof": f"""SELECT user_id AS patient_id, event_type AS field, event_id AS fact_id, value AS num, CASE WHEN event_id % 11 = 0 THEN 'alt' ELSE 'std' END AS unit, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS observed_at
 FROM events WHERE CAST(ts AS DATE) <= DATE '{INDEX}' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY CAST(ts AS DATE) DESC, event_id) = 1""",
-    "evidence_trace": _BASE + "SELECT patient_id, condition_id, string_agg('e' || fact_id, ',' ORDER BY fact_id) AS evidence FROM pairs WHERE fit GROUP BY ALL",
+    "evidence_trace": _BASE + "SELECT patient_id, condition_id, string_agg('e' || fact_id, ',' ORDER BY fact_id) AS evidence FROM chosen WHERE fit AND (selection <> 'latest' OR newest = 1) GROUP BY ALL",
     "unit_mismatch_issues": _BASE + "SELECT condition_id, count(*) FILTER (issue = 'unit_mismatch') AS n_mismatch, count(*) FILTER (truth IS NULL) AS n_unknown, count(*) AS n FROM decided GROUP BY ALL",
     "future_fact_excluded": _BASE + "SELECT patient_id, condition_id, n_future FROM decided WHERE issue = 'future_fact_excluded'",
     "model_fact_mapping": """SELECT event_type AS field, CASE WHEN event_type <> 'purchase' THEN 'field_mismatch' WHEN value < 2 THEN 'model_unknown' WHEN event_id % 13 = 0 THEN 'missing_evidence' WHEN event_id % 17 = 0 THEN 'unknown_evidence' ELSE 'mapped' END AS mapping, count(*) AS n

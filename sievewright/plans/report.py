@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import reports as r
 from ..operators import sampling as s
 from ..session import table
+from .texts import NUMBERS_SQL
 
 
 def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def neighbour_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (model_output_parse, numeric_occurrence_report, semantic_scan_summary, pilot_agreement, wide_flags, capacity_plan, neighbour_mi)}
 
-_NUM = r"""list_filter(list_transform(list_filter(list_transform(string_split_regex(text, '[\s()\[\]{}<>=:;"'']+'), lambda p: regexp_replace(p, '^[,.!?]+|[,.!?%]+$', '', 'g')), lambda p: regexp_matches(p, '^[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?$')), lambda p: try_cast(replace(p, ',', '') AS DECIMAL(38,10))), lambda d: d IS NOT NULL)"""
+_NUM = f"list_filter({NUMBERS_SQL}, lambda d: d IS NOT NULL)"
 _PLACE = "(('0x' || substr(sha256('split-1|' || vec_id), 1, 8))::BIGINT::DOUBLE / 4294967296)"
 
 ORACLES = {

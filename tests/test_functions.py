@@ -25,6 +25,8 @@ def test_segments(spark):
 def test_numeric_tokens(spark):
     found = one(spark, text.numeric_tokens(F.col("t")), t="x 1,234.5 (7) v2 3.0.1 -4, 9%")
     assert [float(x) for x in found] == [1234.5, 7, -4, 9]
+    more = one(spark, text.numeric_tokens(F.col("t")), t="bp 120/80, .5 mg, 5-10, ends 2. x_3 1,2345 (+6)")
+    assert [float(x) for x in more] == [120, 80, 0.5, 5, 10, 1, 2345, 6]
     assert one(spark, text.has_number(F.col("t"), F.lit("7.0")), t="at 7 now")
     assert not one(spark, text.has_number(F.col("t"), F.lit("7")), t="at 77 or 7a")
 

@@ -162,3 +162,55 @@ def test_joins(spark):
     assert got == {1: 8.0, 2: None, 3: None}
     spans = spark.createDataFrame([("a", 0.0, 5.0, "s"), ("a", 5.0, 30.0, "t"), ("a", 4.0, 4.0, "u")], "k string, lo double, hi double, name string")
     assert {(r["id"], r["name"]) for r in relational.range_join(left, spans, "at", "lo", "hi", 10.0, ["k"]).collect()} == {(1, "t"), (2, "s")}
+
+
+def test_latest_by_text_ids_and_its_evidence(spark):
+    atoms = [matching.Atom("a", "f", ">", 5.0, unit="u", selection="latest")]
+    rows = [fact("p", "f2", "f", 9.0, at="2024-01-05"), fact("p", "f1", "f", 1.0, at="2024-01-09"), fact("p", "f3", "f", 7.0, at="2024-01-09")]
+    df = spark.createDataFrame(rows, FACTS.replace("fact_id long", "fact_id string"))
+    got = matching.atom_decisions(matching.patient_atoms(df, atoms, F.lit(INDEX)), atoms).first()
+    assert got["truth"] is False
+    assert [r["evidence"] for r in matching.cited_evidence(df, atoms, F.lit(INDEX)).collect()] == [rows[1][-1]]
+    assert matching.latest_facts(df, F.lit(INDEX)).first()["fact_id"] == "f1"
+
+
+def test_attribution_gates(spark):
+    columns = "gold_status string, status string, gold_unit string, unit string, gold_value double, value double, cited array<string>, known array<string>"
+    rows = [
+        (("present", "present", "u", "u", 1.0, 1.0, ["x"], ["a"]), "unsupported"), (("present", "present", "u", "u", 1.0, 1.0, [], ["a"]), "unsupported"), (("present", "unknown", "u", "u", 1.0, None, ["x"], ["a"]), "abstention_on_known"),
+        (("present", "present", "u", None, 1.0, 1.0, ["a"], ["a"]), "unit"), (("present", "present", "u", "u", 1.0, 2.0, ["a"], ["a"]), "numeric_value"), (("absent", "present", "u", "u", None, 2.0, ["a"], ["a"]), "status"),
+        (("unknown", "unknown", "u", "u", None, 3.0, [], ["a"]), "other"), (("present", "present", "u", "u", 1.0, 1.0, ["a"], ["a"]), None),
+    ]
+    df = spark.createDataFrame([r for r, _ in rows], columns)
+    assert [r["c"] for r in df.select(policy.attribution(df).alias("c")).collect()] == [c for _, c in rows]
+
+
+def test_abstention_traces(spark):
+    row = (True, ["a"], ["a"], True, None, "u", True, "present", 1.0, ["t"])
+    df = spark.createDataFrame([row], "schema_valid boolean, cited array<string>, known array<string>, needs_evidence boolean, unit string, expected_unit string, verifier_agrees boolean, status string, value double, trace_ids array<string>")
+    got = policy.projected(df).first()
+    assert (got["reason"], got["trace_ids"]) == ("incompatible_unit", ["t", "deterministic_abstention.incompatible_unit"])
+
+
+def test_lexical_contexts(spark):
+    rules = (extraction.LexicalRule("bleed", ("bleeding", "hemorrhage"), negations=(r"\bno\b",), uncertain=(r"\bpossible\b",), required_context="gastric"),)
+    far = "x" * 120
+    texts = ["Gastric bleeding is absent.", f"possible {far} gastric bleeding", "bleeding " + far + " gastric", "No gastric bleeding but gastric " + "y" * 90 + " hemorrhage"]
+    chunks = spark.createDataFrame([("s", k, t) for k, t in enumerate(texts)], "scope string, chunk_id long, text string")
+    rows = extraction.lexical_mentions(chunks, rules).orderBy("chunk_id", "alias").collect()
+    assert [(r["chunk_id"], r["alias"], r["polarity"]) for r in rows] == [(0, 1, "negative"), (1, 1, "positive"), (2, 1, "ambiguous"), (3, 1, "negative"), (3, 2, "positive")]
+    assert all(r["sentence"][r["start"] : r["end"]].lower() in ("bleeding", "hemorrhage") for r in rows)
+
+
+def test_coverage_risk_at_given_thresholds(spark):
+    rows = spark.createDataFrame([(0.9, True, False), (0.6, False, False), (0.2, True, True)], "s double, c boolean, a boolean")
+    got = [tuple(r) for r in metrics.coverage_risk(rows, "s", "c", "a", [0.5, 0.95, 0.5], abstain_all=True).orderBy(F.col("threshold").desc_nulls_first()).collect()]
+    assert got == [(None, 0, 0.0, None), (0.95, 0, 0.0, None), (0.5, 2, pytest.approx(2 / 3), 0.5)]
+    with pytest.raises(ValueError):
+        metrics.coverage_risk(rows, "s", "c", "a", [1.5])
+
+
+def test_ordinals_over_partitions(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
+    got = {r["k"]: r["n"] for r in metrics.numbered(rows, "k", "n").collect()}
+    assert [got[k] for k in sorted(got)] == list(range(1000))
