@@ -7,7 +7,8 @@ no patient x trial grid before the rows are that small.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -193,6 +194,44 @@ def match(facts: DataFrame, atoms: list[Atom], trials: list[Trial], index: Colum
     return ranked(matches(criterion_decisions(patient_atoms(facts, atoms, index, patients), atoms, trials)))
 
 
+def compiled(criteria: DataFrame) -> tuple[list[Atom], list[Trial]]:
+    """Atoms and trials of a table of criteria: trial_id, criterion_id, criterion_type, hard, weight, expression (JSON).
+
+    An expression is {expression_type: atom, atom: {...}} or {expression_type: all | any | not, children: [...]}. Rules
+    are small beside the facts, so they come to the driver. An atom's name is its condition's id, with the criterion's
+    before it where two criteria use one id for different conditions.
+    """
+    atoms: dict[str, Atom] = {}
+
+    def tree(node: dict, place: str) -> Expr:
+        kind = node["expression_type"]
+        if kind != "atom":
+            return Expr(kind, tuple(tree(child, place) for child in node["children"]))
+        raw, window = node["atom"], node["atom"].get("time_window") or {}
+        if window.get("relative_to", "index_date") != "index_date":
+            raise ValueError(f"window of {raw['condition_id']} is relative to {window['relative_to']}")
+        value = raw["expected"]
+        own = Atom(raw["condition_id"], raw["field"], raw["operator"], value["value"], value["value_type"], value.get("unit"), raw["fact_selection"], window.get("days"), window.get("direction"))
+        if atoms.setdefault(own.condition_id, own) != own:
+            own = replace(own, condition_id=f"{place}/{own.condition_id}")
+            if atoms.setdefault(own.condition_id, own) != own:
+                raise ValueError(f"{own.condition_id} stands for two conditions")
+        return Expr("atom", atom=own.condition_id)
+
+    found: dict[str, list[Criterion]] = {}
+    for r in criteria.orderBy("trial_id", "criterion_id").collect():
+        expression = tree(json.loads(r["expression"]), f"{r['trial_id']}/{r['criterion_id']}")
+        found.setdefault(r["trial_id"], []).append(Criterion(r["criterion_id"], r["criterion_type"], expression, bool(r["hard"]), float(r["weight"])))
+    return list(atoms.values()), [Trial(k, tuple(c)) for k, c in found.items()]
+
+
+def match_tables(facts: DataFrame, criteria: DataFrame, patients: DataFrame) -> DataFrame:
+    """From a fixture's tables to ranked matches; each patient's facts are held against that patient's index_date."""
+    atoms, trials = compiled(criteria)
+    dated = facts.drop("index_date").join(patients.select("patient_id", "index_date"), "patient_id")
+    return match(dated, atoms, trials, F.col("index_date"), patients)
+
+
 def latest_facts(facts: DataFrame, index: Column) -> DataFrame:
     """As-of lookup: for each patient and field the last fact not after the index date, the first by id on ties."""
     best = F.min_by(F.struct("fact_id", "num", "unit", "observed_at"), F.struct(-F.unix_date("observed_at"), "fact_id"))
@@ -227,3 +266,19 @@ def mapped_model_facts(model_facts: DataFrame, known: DataFrame, field: str) ->
         .when(F.size(F.array_except("evidence_ids", F.coalesce("known_ids", F.array().cast("array<string>")))) > 0, "unknown_evidence").otherwise("mapped")
     )
     return rows.withColumn("mapping", mapping).drop("known_ids")
+
+
+def verified_model_facts(model_facts: DataFrame, known: DataFrame, criterion: Criterion, atoms: list[Atom], index: Column) -> DataFrame:
+    """Rows (fact_id, mapping, decision) of a model's facts held against one criterion, each on its own.
+
+    model_facts: patient_id, fact_id, and the columns of a fact, with status; known: patient_id, evidence_ids. What can't
+    be mapped decides nothing (unknown); a mapped fact is judged as the only fact of its patient, dated on the index date.
+    """
+    used = {a.condition_id: a for a in atoms if a.condition_id in criterion.conditions()}
+    fields = sorted({a.field for a in used.values()})
+    rows = mapped_model_facts(model_facts.withColumn("__field", F.col("field")).withColumn("field", F.when(F.col("field").isin(*fields), F.lit("used")).otherwise(F.lit("other"))), known, "used")
+    rows = rows.withColumn("field", F.col("__field")).drop("__field")
+    alone = rows.where("mapping = 'mapped'").withColumn("patient_id", F.col("fact_id")).withColumn("observed_at", index)
+    trial = Trial("model", (criterion,))
+    decided = criterion_decisions(patient_atoms(alone, list(used.values()), index), list(used.values()), [trial]).select(F.col("patient_id").alias("fact_id"), "decision")
+    return rows.select("patient_id", "fact_id", "mapping").join(decided, "fact_id", "left").withColumn("decision", F.coalesce("decision", F.lit("unknown")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.logic import all_of, any_of, atom, negated
+from ..functions.logic import Expr, all_of, any_of, atom, negated
 from ..operators import matching as m
 from ..session import table
 
@@ -83,7 +85,33 @@ def model_fact_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("field", "mapping").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (match_rank, atom_decisions, criterion_decisions, latest_fact_asof, evidence_trace, unit_mismatch_issues, future_fact_excluded, model_fact_mapping)}
+def _json(tree: Expr) -> dict:
+    if tree.op != "atom":
+        return {"expression_type": tree.op, "children": [_json(p) for p in tree.parts]}
+    a = next(a for a in ATOMS if a.condition_id == tree.atom)
+    window = {"days": a.window_days, "direction": a.window_direction} if a.window_days else None
+    return {"expression_type": "atom", "atom": {"condition_id": a.condition_id, "field": a.field, "operator": a.op, "fact_selection": a.selection, "expected": {"value_type": a.value_type, "value": a.expected, "unit": a.unit}, "time_window": window}}
+
+
+def compiled_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules as a table of JSON expressions, and an index date of its own for each patient: three days before the last fact."""
+    rows = [(t.trial_id, c.criterion_id, c.kind, c.hard, c.weight, json.dumps(_json(c.tree))) for t in TRIALS for c in t.criteria]
+    criteria = spark.createDataFrame(rows, "trial_id string, criterion_id string, criterion_type string, hard boolean, weight double, expression string")
+    own = facts(spark, sf_dir)
+    patients = own.groupBy("patient_id").agg(F.date_sub(F.max("observed_at"), 3).alias("index_date"))
+    found = m.match_tables(own, criteria, patients)
+    return found.select("patient_id", "trial_id", "decision", "score", "coverage", "atomic_coverage", "abstained", F.concat_ws(",", "abstention_reasons").alias("reasons"), "rank")
+
+
+def model_fact_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single facts as a model gave them, held against `a purchase of 120 or more`."""
+    rows = facts(spark, sf_dir).withColumn("status", F.when(F.col("num") < 2, "unknown").otherwise("present"))
+    known = facts(spark, sf_dir).where("fact_id % 5 <> 0").groupBy("patient_id").agg(F.collect_set(F.concat(F.lit("e"), F.col("fact_id"))).alias("evidence_ids"))
+    found = m.verified_model_facts(rows, known, m.Criterion("c", "exclusion", atom("buy_large")), ATOMS, _index())
+    return found.select("fact_id", "mapping", "decision")
+
+
+QUERIES = {f.__name__: f for f in (compiled_match, model_fact_decisions, match_rank, atom_decisions, criterion_decisions, latest_fact_asof, evidence_trace, unit_mismatch_issues, future_fact_excluded, model_fact_mapping)}
 
 
 def _sql_atoms() -> str:
@@ -154,6 +182,9 @@ FROM events WHERE CAST(ts AS DATE) <= DATE '{INDEX}' QUALIFY row_number() OVER (
     "evidence_trace": _BASE + "SELECT patient_id, condition_id, string_agg('e' || fact_id, ',' ORDER BY fact_id) AS evidence FROM chosen WHERE fit AND (selection <> 'latest' OR newest = 1) GROUP BY ALL",
     "unit_mismatch_issues": _BASE + "SELECT condition_id, count(*) FILTER (issue = 'unit_mismatch') AS n_mismatch, count(*) FILTER (truth IS NULL) AS n_unknown, count(*) AS n FROM decided GROUP BY ALL",
     "future_fact_excluded": _BASE + "SELECT patient_id, condition_id, n_future FROM decided WHERE issue = 'future_fact_excluded'",
+    "model_fact_decisions": """WITH m AS (SELECT event_id AS fact_id, value, event_id % 11 = 0 AS alt, CASE WHEN event_type <> 'purchase' THEN 'field_mismatch' WHEN value < 2 THEN 'model_unknown' WHEN event_id % 5 = 0 THEN 'unknown_evidence' ELSE 'mapped' END AS mapping FROM events)
+SELECT fact_id, mapping, CASE WHEN mapping <> 'mapped' OR alt THEN 'unknown' WHEN value >= 120 THEN 'ineligible' ELSE 'eligible' END AS decision FROM m""",
     "model_fact_mapping": """SELECT event_type AS field, CASE WHEN event_type <> 'purchase' THEN 'field_mismatch' WHEN value < 2 THEN 'model_unknown' WHEN event_id % 13 = 0 THEN 'missing_evidence' WHEN event_id % 17 = 0 THEN 'unknown_evidence' ELSE 'mapped' END AS mapping, count(*) AS n
 FROM events GROUP BY ALL""",
 }
+ORACLES["compiled_match"] = ORACLES["match_rank"].replace(f"DATE '{INDEX}'", "g.idx").replace("SELECT DISTINCT patient_id FROM facts", "SELECT patient_id, max(observed) - 3 AS idx FROM facts GROUP BY patient_id")

@@ -44,6 +44,33 @@ def read_fixture(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+# The field names of a nested matching fixture. A typed value's `value` is read as text, an expression as JSON.
+_TYPED = "struct<value_type:string,value:string,unit:string>"
+NESTED = (
+    "schema_version string, patients array<struct<patient_id:string,index_date:date,evidence:array<struct<evidence_id:string,source_id:string,text:string>>,"
+    f"facts:array<struct<fact_id:string,field:string,value:{_TYPED},evidence_ids:array<string>,observed_at:date>>>>, "
+    "trials array<struct<trial_id:string,title:string,criteria:array<struct<criterion_id:string,criterion_type:string,description:string,hard:boolean,weight:double,expression:string>>>>"
+)
+
+
+def read_nested_fixture(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """patients, evidence, facts (with their patient's index_date) and criteria of a fixture with nested expressions.
+
+    Facts have the columns that matching takes; criteria keep their expression as JSON for matching.compiled().
+    """
+    doc = spark.read.schema(NESTED).option("mode", "FAILFAST").json(path, multiLine=True)
+    patients = doc.select(F.explode("patients").alias("p"))
+    facts = patients.select("p.patient_id", "p.index_date", F.inline("p.facts"))
+    of = lambda kind, cast: F.when(F.col("value.value_type") == kind, F.col("value.value").cast(cast))
+    trials = doc.select(F.explode("trials").alias("t")).select("t.trial_id", F.inline("t.criteria"))
+    return {
+        "patients": patients.select("p.patient_id", "p.index_date"),
+        "evidence": patients.select("p.patient_id", F.inline("p.evidence")),
+        "facts": facts.select("patient_id", "index_date", "fact_id", "field", F.col("value.value_type").alias("value_type"), of("number", "double").alias("num"), of("boolean", "boolean").alias("flag"), of("string", "string").alias("str"), of("date", "date").alias("day"), F.col("value.unit").alias("unit"), "observed_at", "evidence_ids"),
+        "criteria": trials.select("trial_id", "criterion_id", "criterion_type", F.coalesce("hard", F.lit(False)).alias("hard"), F.coalesce("weight", F.lit(1.0)).alias("weight"), "expression"),
+    }
+
+
 def fixture_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows (problem, key): facts without evidence or with another patient's, repeated ids, bad weights, gold off the grid."""
     facts, evidence, criteria = tables["facts"], tables["evidence"], tables["criteria"]

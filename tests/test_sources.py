@@ -4,6 +4,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from sievewright.operators import matching
 from sievewright.sources import files, fixtures
 from sievewright.streaming import windows
 
@@ -68,3 +69,23 @@ def test_streams_agree_with_tables(spark, tmp_path):
     last = sorted((tmp_path / "latest").glob("v*"), key=lambda p: int(p.name[1:]))[-1]
     want = events.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
     assert spark.read.parquet(str(last)).select("user_id", "value").exceptAll(want).count() == 0
+
+
+def test_nested_fixture_to_matches(spark, tmp_path):
+    value = lambda x, kind="number", unit="u": {"value_type": kind, "value": x, "unit": unit}
+    leaf = lambda k, field, op, x, **kw: {"expression_type": "atom", "atom": {"condition_id": k, "field": field, "operator": op, "expected": x, "fact_selection": "any", **kw}}
+    either = {"expression_type": "any", "children": [leaf("c1", "f", ">=", value(5)), {"expression_type": "not", "children": [leaf("c2", "g", "==", value(True, "boolean", None))]}]}
+    recent = leaf("c1", "f", ">", value(1), time_window={"days": 10, "direction": "past"})  # the same id for another condition
+    doc = {
+        "schema_version": "1",
+        "patients": [
+            {"patient_id": "p", "index_date": "2024-01-20", "evidence": [], "facts": [{"fact_id": "x", "field": "f", "value": value(7), "evidence_ids": ["e"], "observed_at": "2024-01-15"}, {"fact_id": "y", "field": "g", "value": value(True, "boolean", None), "evidence_ids": ["e"]}]},
+            {"patient_id": "q", "index_date": "2024-03-20", "evidence": [], "facts": [{"fact_id": "x", "field": "f", "value": value(7), "evidence_ids": ["e"], "observed_at": "2024-01-15"}]},
+            {"patient_id": "r", "index_date": "2024-03-20", "evidence": [], "facts": []},
+        ],
+        "trials": [{"trial_id": "t", "title": "T", "criteria": [{"criterion_id": "a", "criterion_type": "inclusion", "description": "", "hard": True, "expression": either}, {"criterion_id": "b", "criterion_type": "inclusion", "description": "", "expression": recent}]}],
+    }
+    (tmp_path / "n.json").write_text(json.dumps(doc))
+    tables = fixtures.read_nested_fixture(spark, str(tmp_path / "n.json"))
+    got = {r["patient_id"]: (r["decision"], r["score"], r["coverage"]) for r in matching.match_tables(tables["facts"], tables["criteria"], tables["patients"]).collect()}
+    assert got == {"p": ("eligible", 1.0, 1.0), "q": ("eligible", 1.0, 0.5), "r": ("unknown", None, 0.0)}
