@@ -15,9 +15,9 @@ from .common import texts_of, word_key
 #: Labelled documents the model is fitted on at most, in the order of a hash of their ids.
 FIT_ROWS = 12_000
 #: Words whose weights a worker keeps; it changes no result.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 #: Features that a task counts before it sends the sums on.
-HELD_FEATURES = 150_000
+HELD_FEATURES = 100_000
 #: Features with a weight: those whose presence tells the labels apart best.
 WORDS = 3000
 #: Documents that a feature must occur in to be one of them.
