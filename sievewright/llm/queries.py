@@ -13,6 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents. Null and empty texts get the model's leak; null labels teach nothing; a repeated labelled id counts once; a tie at one half is toxic."""
     from .common import in_fold
     from .toxicity import fitted, scores
 
@@ -23,6 +24,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents. Null and empty texts have none; repeated rows stay."""
     from .secret_scan import scan
 
     found = scan(_table(spark, sf_dir, "documents"))
@@ -36,6 +38,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents. Texts without words have fingerprint zero and link like any other; a null id keeps its row."""
     from .simhash import simhash_components
 
     found = simhash_components(_table(spark, sf_dir, "documents"))
@@ -43,6 +46,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the benchmark in all documents. Null texts have no words; items without an id, or without words, are left out; repeated items count once."""
     from .decontam import contamination
 
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -53,6 +57,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents. Null and empty texts have 0; repeated rows stay; an empty table gives an empty one."""
     from .tokencount import token_counts
 
     found = token_counts(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
@@ -60,6 +65,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents. A null or empty text is one end; null ids are in training; repeated rows each count and stay; an empty table gives an empty one."""
     from .common import in_fold
     from .pst import score_texts
 
@@ -70,6 +76,7 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors. Null, zero and non-finite vectors, and null ids or labels, link with nothing; an id that stands by several vectors has a row for each."""
     from .embed_dedup import near_vectors
 
     found = near_vectors(_table(spark, sf_dir, "embeddings"))
@@ -77,6 +84,7 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents; the labelled rows' languages are the domains, in equal shares. Texts without words keep the rate 1; without labelled rows there is one domain, unknown."""
     from .mixing import mix
 
     docs = _table(spark, sf_dir, "documents")
@@ -85,6 +93,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents. Null and empty texts have the figures of an empty one; only label 1 teaches, a repeated id once; without positives every score is one half."""
     from .common import in_fold
     from .quality import fitted, quality_scores
 
@@ -95,6 +104,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages. A null url, or one without ://, has an empty host and path; repeated pages stay; without labelled urls of both kinds the threshold is 0."""
     from .url_filter import filter_urls
 
     found = filter_urls(_table(spark, sf_dir, "pages"))
