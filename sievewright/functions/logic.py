@@ -19,35 +19,6 @@ OPERATORS = ("==", "!=", ">", ">=", "<", "<=")
 PRIORITY = {"eligible": 2, "unknown": 1, "ineligible": 0}
 
 
-def compare(op: Column, left: Column, right: Column) -> Column:
-    """left op right for an operator given as a column; null for an unknown operator."""
-    return (
-        F.when(op == "==", left == right).when(op == "!=", left != right).when(op == ">", left > right)
-        .when(op == ">=", left >= right).when(op == "<", left < right).when(op == "<=", left <= right)
-    )
-
-
-def incompatibility(left_type: Column, right_type: Column, left_unit: Column, right_unit: Column, op: Column) -> Column:
-    """Why two typed values can't be compared: type_mismatch, unit_mismatch, operator_mismatch; null if they can."""
-    return (
-        F.when(left_type != right_type, F.lit("type_mismatch"))
-        .when((left_type == "number") & ~left_unit.eqNullSafe(right_unit), F.lit("unit_mismatch"))
-        .when(~left_type.isin(*ORDERED) & ~op.isin("==", "!="), F.lit("operator_mismatch"))
-    )
-
-
-def in_window(observed: Column, index: Column, days: Column, direction: Column) -> Column:
-    """Whether a dated fact counts.
-
-    Without a window: undated, or not after the index date. With one: within so many days before or after it;
-    an undated fact never is.
-    """
-    free = observed.isNull() | (observed <= index)
-    past = observed.between(F.date_sub(index, days), index)
-    future = observed.between(index, F.date_add(index, days))
-    return F.coalesce(F.when(days.isNull(), free).when(direction == "past", past).when(direction == "future", future), F.lit(False))
-
-
 @dataclass(frozen=True)
 class Expr:
     """A criterion tree: op is atom, all, any or not."""

@@ -48,11 +48,6 @@ def suppressed(counts: DataFrame, group: Sequence[str], name: str, n: str, least
     return rows.select(*group, name, F.when(~hidden, F.col(n)).alias(n), hidden.alias("hidden"), ((F.col("n_primary") == 1) & (F.col("others") == 0)).alias("exposed"))
 
 
-def rate_cell(top: Column, bottom: Column, hidden: Column) -> Column:
-    """A rate, hidden if its source cell is."""
-    return F.when(~hidden & (bottom > 0), F.round(top / bottom, 6))
-
-
 def failing_reasons(rows: DataFrame, policy: Mapping[str, Column]) -> DataFrame:
     """Every reason of the policy that a row fails for, in the policy's order."""
     return rows.withColumn("reasons", reasons(policy))
@@ -105,9 +100,3 @@ def drift(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> D
     a, b = old.select(key, F.struct(*columns).alias("a")), new.select(key, F.struct(*columns).alias("b"))
     kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
     return a.join(b, key, "full_outer").select(key, kind.alias("change")).where("change is not null")
-
-
-def capacity_plans(minutes: int, per_unit: Sequence[int], annotators: Sequence[int], share: float) -> Column:
-    """Units that a budget of person-minutes allows, for each design, as an array of structs; driver-side constants."""
-    plans = [F.struct(F.lit(m).alias("minutes_per_unit"), F.lit(a).alias("annotators"), F.lit(int(minutes * share) // (m * a)).alias("units")) for m in per_unit for a in annotators]
-    return F.array(*plans)

@@ -158,7 +158,10 @@ def neighbour_information(rows: DataFrame, features: Mapping[str, str], label: s
             if len(own) < 2:
                 continue
             near = min(k, len(own) - 1)
-            reach = np.array([np.partition(np.abs(own - v), near)[near] for v in own])
+            # the nearest ones of a sorted value are within `near` places of it
+            wide = np.concatenate((np.full(near, -np.inf), own, np.full(near, np.inf)))
+            away = np.abs(np.lib.stride_tricks.sliding_window_view(wide, 2 * near + 1) - own[:, None])
+            reach = np.partition(away, near, axis=1)[:, near]
             around = np.searchsorted(whole, own + reach, "left") - np.searchsorted(whole, own - reach, "right")
             parts.append((len(own), near, np.maximum(around, 1)))
         n = sum(p[0] for p in parts)
@@ -177,11 +180,3 @@ def _digamma(n: float) -> float:
         total -= 1 / n
         n += 1
     return total + float(np.log(n)) - 1 / (2 * n) - 1 / (12 * n**2) + 1 / (120 * n**4)
-
-
-def with_progress(batches: Iterator, every: int, tell) -> Iterator:
-    """Passes batches on and calls `tell` with their number now and then."""
-    for n, batch in enumerate(batches, 1):
-        if n % every == 0:
-            tell(n)
-        yield batch
