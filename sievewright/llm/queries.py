@@ -94,12 +94,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents. Null and empty texts have the figures of an empty one; only label 1 teaches, a repeated id once; without positives every score is one half."""
-    from .common import in_fold
-    from .quality import fitted, quality_scores
+    from .common import in_fold, written
+    from .quality import coded_scores, coded_texts, fitted_on
 
-    docs = _table(spark, sf_dir, "documents")
-    model = fitted(docs, _table(spark, sf_dir, "labels"), "quality", learn=~in_fold(F.col("id"), 3, 1))
-    found = quality_scores(docs, model)
+    coded = written(coded_texts(_table(spark, sf_dir, "documents")), "quality-codes")
+    model = fitted_on(coded, _table(spark, sf_dir, "labels"), "quality", learn=~in_fold(F.col("id"), 3, 1))
+    found = coded_scores(coded, model)
     return found.select(F.col("id").alias("doc_id"), in_fold(F.col("id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -154,6 +154,37 @@ def test_quality_odd_rows(spark):
     assert quality.quality_scores(docs.limit(0), quality.PUModel()).count() == 0
 
 
+def test_quality_of_a_table_is_that_of_its_rows(spark):
+    """Cuts, prior and risk of a table in any number of parts against the same fit in memory, and the scores against it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id % 3 = 0"))  # repeats count
+    labels = docs.select("doc_id", (F.length("text") % 2).alias("quality")).distinct()
+    x = np.array([quality.features(r["text"]) for r in docs.collect()])
+    sure = [quality.features(r["text"]) for r in docs.dropDuplicates(["doc_id"]).join(labels.where("quality = 1"), "doc_id").collect()]
+    models = [quality.fitted(docs.repartition(n), labels) for n in (1, 7)]
+    rows = np.array([m.theta for m in models])
+    assert np.allclose(rows[0], rows[1], atol=1e-9) and np.array_equal(models[0].cuts, models[1].cuts)
+    plain = quality.PUModel()
+    plain.fit(np.array(sure), x, models[0].prior)
+    assert np.array_equal(plain.cuts, models[0].cuts)
+    given = quality.fitted(docs, labels, prior=models[0].prior)
+    assert np.allclose(plain.theta, given.theta, atol=1e-6)
+    got = {r["id"]: r["score"] for r in quality.quality_scores(docs.limit(50), given).collect()}
+    want = {r["doc_id"]: plain.scores(quality.features(r["text"])[None])[0] for r in docs.limit(50).collect()}
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_moments_are_slopes_and_curvature():
+    rng = np.random.default_rng(8)
+    cells, n = rng.integers(0, quality.BINS, (40, quality.FEATURES)).astype(np.uint8), rng.integers(0, 4, 40)
+    theta = rng.normal(0, 0.3, quality.FEATURES * quality.BINS + 1)
+    for sign in (1, -1):
+        value, grad, hess = quality._unpacked(quality.moments(cells, n, theta, sign))
+        for k in (0, 17, 200, len(theta) - 1):
+            up, down = (quality._unpacked(quality.moments(cells, n, theta + d * (np.arange(len(theta)) == k), sign)) for d in (1e-5, -1e-5))
+            assert grad[k] == pytest.approx((up[0] - down[0]) / 2e-5, abs=1e-8) and np.allclose(hess[k], (up[1] - down[1]) / 2e-5, atol=1e-8)
+
+
 # --- 9: mixing ---
 
 def test_mixing_meets_targets(spark):
