@@ -75,3 +75,16 @@ def test_entry_without_a_part(missing):
     code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); print(len(q), 'pipeline' in q, 'op1_suffix_tree' in q, len(o))"
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120, check=True).stdout.split()
     assert int(out[0]) > 90 and out[1] == "False" and (out[2] == "True") == (missing == "corpus_pipeline")
+
+
+def test_all_labelled_urls_are_learned_from(spark, monkeypatch):
+    """Ratios, threshold and verdicts are those of the models of every labelled URL, on whatever chunks and parts."""
+    rows = [(k, f"http://{'news' if k % 3 else 'casino'}{k % 7}.{'example.org' if k % 3 else 'biz.com'}/{('en', 'fr', 'de', 'es')[k % 4]}/{k * 7919 % 30_011}") for k in range(24_000)]
+    pages = spark.createDataFrame([*rows, (-1, None), (-2, ""), (-3, "ÄÖ\n://x"), *rows[:50]], "page_id long, url string")
+    monkeypatch.setattr(url_filter, "CHUNK", 50_000)
+    got = url_filter.filter_urls(pages).cache()
+    model = url_filter.fitted(url_filter.filter_urls(pages).withColumn("action", F.when(F.col("rule").isNotNull(), F.col("verdict"))))
+    assert model.models[0].total[b""][0] > 4000 * 45 and got.count() == len(rows) + 53
+    for r in got.collect():
+        assert r["threshold"] == pytest.approx(model.threshold, abs=1e-9)
+        assert r["log_ratio"] == (0.0 if r["url"] is None else pytest.approx(model.ratio(r["url"].encode()), abs=1e-9))
