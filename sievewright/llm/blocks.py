@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts
+from .common import shuffle_parts, written
 
 GROUP = ["bucket", "low", "high"]
 
@@ -26,14 +26,24 @@ def blocked(members: DataFrame, member: str, rows: int, payload: DataFrame | Non
     Columns of `payload` are joined by `member` last, so that wide rows are dealt out once.
     """
     counts = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    sized = members.join(counts, "bucket").withColumn("blocks", F.ceil(F.col("size") / F.lit(float(rows))).cast("int"))
+    return _dealt(members.join(counts, "bucket"), member, rows, payload)
+
+
+def split(members: DataFrame, member: str, rows: int) -> DataFrame:
+    """As blocked(), for tables in which nearly all buckets are shared: only the larger ones are looked up, and rows move once."""
+    large = written(members.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > rows), "large-buckets")
+    return _dealt(members.join(large, "bucket", "left").fillna(1, ["size"]), member, rows, None)
+
+
+def _dealt(sized: DataFrame, member: str, rows: int, payload: DataFrame | None) -> DataFrame:
+    sized = sized.withColumn("blocks", F.ceil(F.col("size") / F.lit(float(rows))).cast("int"))
     block = F.pmod(F.xxhash64(member, F.lit(17)), F.col("blocks").cast("long")).cast("int")
     dealt = sized.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     dealt = dealt.drop("size", "blocks", "other")
     if payload is not None:
         dealt = dealt.join(payload, member)
-    return dealt.repartition(shuffle_parts(members.sparkSession), *GROUP).sortWithinPartitions(*GROUP)
+    return dealt.repartition(shuffle_parts(sized.sparkSession), *GROUP).sortWithinPartitions(*GROUP)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], hold: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -53,3 +53,30 @@ def test_band_recall():
             n += 1
             met += bool(set(near_text.bands(a)) & set(near_text.bands(b)))
     assert met >= 297
+
+
+def test_simhash_proposes(spark):
+    """Fingerprints are majorities of the shingles' hashes, and their blocks are the buckets, in both layouts."""
+    shingles = near_text.shingle_set([b"w%d" % k for k in range(60)])
+    hashes = [near_text._mixed(shingles * f) for f in near_text._FACTOR[:4]]
+    bits = [[sum(int(x) >> b & 1 for x in h) * 2 > len(shingles) for b in range(64)] for h in hashes]
+    got = [[bool(int(x) >> b & 1) for b in range(64)] for x in near_text.fingerprint(shingles, 2)]
+    assert got == bits
+    small = near_text.shingle_set([b"s%d" % k for k in range(9)])
+    for _, size, blocks in near_text.LAYOUTS:
+        longs = near_text._longs(size, blocks)
+        rows = [(k, near_text.fingerprint(x, longs).view(np.int64).tolist(), near_text.small_sets(x)) for k, x in enumerate((shingles, small))]
+        members = near_text._members(spark.createDataFrame(rows, "key long, fp array<long>, small array<long>"), size, blocks)
+        found = [sorted(r["bucket"] for r in members.where(f"key = {k}").collect()) for k in (0, 1)]
+        assert found == [sorted(near_text.bands(x, size, blocks)) for x in (shingles, small)] and list(map(len, found)) == [blocks, blocks + 5]
+
+
+def test_short_texts_and_wide_blocks(spark, monkeypatch):
+    """Texts of 8 and 9 words at the bar meet by their common shingles; small blocks of buckets and 21 bits lose nothing."""
+    texts = [" ".join(f"{k}w{j}" for j in range(n)) for k in range(150) for n in (8, 9)] + [" ".join(f"h{x}" for x in range(60)) + f" e{k}" for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [2 * k for k in range(150)] + [300]
+    monkeypatch.setattr(near_text, "MEETING_ROWS", 7)
+    for layouts in (near_text.LAYOUTS, near_text.LAYOUTS[1:]):
+        monkeypatch.setattr(near_text, "LAYOUTS", layouts)
+        assert sorted(r["doc_id"] for r in near_text.dedup(df).collect()) == want
