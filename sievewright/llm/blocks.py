@@ -19,13 +19,15 @@ from .common import shuffle_parts, written
 GROUP = ["bucket", "low", "high"]
 
 
-def blocked(members: DataFrame, member: str, rows: int, payload: DataFrame | None = None) -> DataFrame:
+def blocked(members: DataFrame, member: str, rows: int, payload: DataFrame | None = None, weight: tuple[str, int] | None = None) -> DataFrame:
     """members: a column `bucket` (long) and a column `member` that is distinct in a bucket.
 
     Adds (low, high), the pair of blocks a copy of the row takes part in, and `block`, the row's own block.
-    Columns of `payload` are joined by `member` last, so that wide rows are dealt out once.
+    Columns of `payload` are joined by `member` last, so that wide rows are dealt out once. With `weight`, a column and how
+    much of it a block may hold, blocks of light members may have more than `rows`.
     """
-    counts = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    size = F.count("*") if weight is None else F.least(F.count("*"), F.greatest(F.lit(1), F.sum(weight[0]) * F.lit(rows / weight[1])))
+    counts = members.groupBy("bucket").agg(F.count("*").alias("members"), size.alias("size")).where("members > 1").drop("members")
     return _dealt(members.join(counts, "bucket"), member, rows, payload)
 
 

@@ -80,3 +80,54 @@ def test_short_texts_and_wide_blocks(spark, monkeypatch):
     for layouts in (near_text.LAYOUTS, near_text.LAYOUTS[1:]):
         monkeypatch.setattr(near_text, "LAYOUTS", layouts)
         assert sorted(r["doc_id"] for r in near_text.dedup(df).collect()) == want
+
+
+def test_rows_of_a_large_group(spark, monkeypatch):
+    """Each of many near copies is compared in one group, whatever number of buckets proposes it; some are too far apart."""
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    seen, links = [], near_text._links
+    monkeypatch.setattr(near_text, "_links", lambda members, *rest: (seen.append(members.count()), links(members, *rest))[1])
+    for n in (60, 240):
+        texts = [" ".join(edited(rng, base, 1 + k % 8)) for k in range(n)]
+        sets = [brute_set(t) for t in texts]
+        want = sorted(set(union(n, [(a, b) for a in range(n) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8])))
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert sorted(r["doc_id"] for r in near_text.dedup(df).collect()) == want and 1 < len(want) < n
+        assert seen.pop() <= n
+
+
+def test_groups_of_proposals(spark, monkeypatch):
+    """A text is in one group; a chain so long that its blocks would be more rows stays in the buckets that propose it."""
+    star = [(100 + b, k, 1000, 20) for b in range(30) for k in range(1000, 1020)]
+    chain = [(k, k + d, k, 2) for k in range(50) for d in (0, 1)]
+    ties = [(200, 3000, 3000, 2), (200, 3001, 3000, 2), (201, 3001, 3001, 2), (201, 3002, 3001, 2), (202, 2999, 2999, 2), (202, 3002, 2999, 2)]
+    monkeypatch.setattr(near_text, "ALIKE_ROWS", 4)
+    found = near_text._groups(spark.createDataFrame(star + chain + ties, "bucket long, key long, first long, size long")).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["bucket"], []).append(r["key"])
+    assert sorted(map(sorted, groups.values())) == sorted([list(range(1000, 1020)), [2999, 3000, 3001, 3002], *([k, k + 1] for k in range(50))])
+
+
+def test_small_blocks_of_every_step(spark, monkeypatch):
+    """However little is held or compared at once, no link is lost."""
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    texts = [" ".join(edited(rng, base, 1 + k % 6)) for k in range(60)] + [" ".join(edited(rng, base[:40], 1)) for _ in range(8)]
+    sets = [brute_set(t) for t in texts]
+    want = sorted(set(union(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8])))
+    for name, few in (("MEETING_ROWS", 9), ("ALIKE_ROWS", 7), ("BLOCK_ROWS", 5), ("BLOCK_SHINGLES", 1000), ("PAIRS", 3)):
+        monkeypatch.setattr(near_text, name, few)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_text.dedup(df).collect()) == want
+
+
+def test_parities_rule_out_no_similar_sets():
+    rng = np.random.default_rng(10)
+    for size in (1, 5, 40, 300, 5000):
+        pool = rng.integers(0, 1 << 63, 2 * size + 2, dtype=np.uint64)
+        for _ in range(30):
+            a, b = (np.unique(rng.choice(pool[: size + 1 + size * k // 8], size, replace=False)) for k in rng.integers(0, 8, 2))
+            fits = near_text._fit(np.array([len(a), len(b)]), np.array([near_text.parities(a), near_text.parities(b)]), 0.8)
+            assert near_text.similarity(a, b) < 0.8 or fits(np.array([0]), np.array([1]))[0]
